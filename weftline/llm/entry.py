@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, simhash
+from . import chat, decontam, linededup, mixing, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op3_decontam": decontam.op3_decontam,
         "op4_mixing": mixing.op4_mixing,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_chat": chat.op9_chat,
+        "op10_line_dedup": linededup.op10_line_dedup,
     }
 
 
