@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "flagship"
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import audit, features, fusion, graphs, metrics, policies, population, retrieval, sampling, vectors  # noqa: F401  each declares its relations
+from .plans.graph import GRAPH
+from .plans.params import SMALL_FEED, Params
+from .sources import canonical
+
+FLAGSHIP = "rrf_fused_topk"
+GRAPH.stage("candidates_long", "rrf_fused_topk", "scored", "two_ranker_fusion", "swap_pairs", "greedy_swaps", "swapped_slate", "item_knn", "seed_neighbours", "src_item_neighbours", "covisit_neighbors", "basket_transitions", "ap_table", "src_cold_content", "pit_user_item_features")
+
+
+def run(name: str, params: Params = SMALL_FEED):
+    """The query ``name`` as a function of a session and a folder of tables."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        canonical.register(spark, folder)
+        return GRAPH.frame(spark, name, params, folder)
+
+    query.__name__, query.__doc__ = name, GRAPH.queries[name]
+    return query
+
+
+QUERIES = {name: run(name) for name in GRAPH.queries}
+ORACLES = {name: GRAPH.oracle(name, SMALL_FEED) for name in GRAPH.queries}
