@@ -1,7 +1,7 @@
 """Shared pieces of the training-data operators.
 
-* `scratch_dir`, `materialise`: cut lineage by writing a table into the shared
-  folder that the cluster names in ``spark.checkpoint.dir``.
+* lineage is cut by `materialise`, which writes a table into the shared folder that
+  the cluster names in ``spark.checkpoint.dir``.
 * vectorised text kernels (numpy over UTF-8 bytes): word spans, 64-bit word
   hashes, n-gram hashes and winnowing, all by whole text.
 * `connected_components`: large-star / small-star over an edge table.
@@ -9,8 +9,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,44 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-
-_OWN_DIR: list[str] = []
-_WRITTEN: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables.
-
-    ``spark.checkpoint.dir`` of the session when set. Otherwise, and only with a
-    single-process local master, a temporary folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
-    return _OWN_DIR[0]
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and returns the table as read back."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that `materialise` wrote; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+from ..storage import materialise
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
