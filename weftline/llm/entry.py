@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, html, linededup, mixing, secrets, simhash, suffixes, toxicity
+from . import chat, decontam, embeddings, html, linededup, mixing, oracles, secrets, simhash, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -20,5 +20,4 @@ def queries() -> dict:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracles.oracle_sql

@@ -73,7 +73,7 @@ def copies_of(sizes: DataFrame, targets: DataFrame, seed: int = 0, slice_rows: i
 
     ``tie`` orders documents of equal id; rows equal in all of these are interchangeable.
     """
-    classed = sizes.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    classed = sizes.withColumn("class", F.floor(F.sqrt(F.col("size").cast("double")) * 2).cast("int"))
     counts = classed.groupBy("source", "class").count()
     slices = counts.select("source", "class", F.ceil(F.col("count") / F.lit(slice_rows)).cast("int").alias("slices"))
     same = lambda a, b, *more: [a["source"].eqNullSafe(b["source"]), *(a[c] == b[c] for c in more)]
