@@ -3,8 +3,9 @@
 Suffixes start at minimiser positions only: positions whose 10-word hash is the least
 of some 41 consecutive ones, so every span of 50 words holds one, chosen by its words
 alone. A suffix is ordered by the hash of its first 10 words, then by its reach: the
-words of all 50-word windows that contain those 10 (from 40 before to 50 after), so
-equal neighbours in this order extend each other left and right over the whole reach.
+words of all 50-word windows whose first least hash it holds (from up to 40 before to
+50 after), so equal neighbours in this order extend each other left and right over the
+whole reach.
 Where neighbours share the first words but not the reach, one suffix of each reach is
 extended by comparing its 50-word windows with those of the other reaches, at equal
 alignment. A window that is found in another document marks its words; the marks of a
@@ -29,25 +30,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, gram_hashes, hash_words, keyed, materialise, prefix_sums, same_doc, span_hashes, table, texts_of, winnow
+from .common import NOT_SPACE, _sliding, gram_hashes, hash_words, keyed, materialise, mix, prefix_sums, same_doc, span_hashes, table, texts_of, winnow
 
 SPAN = 50
 GRAM = 10
 
 
-def _reach(at: np.ndarray, n: int, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last (exclusive) window start around suffix positions, in a text of n words."""
-    return np.maximum(at - (span - gram), 0), np.minimum(at, n - span) + 1
+def owners(grams: np.ndarray, w: int) -> np.ndarray:
+    """For every window of w consecutive hashes the position of its first minimum."""
+    least = _sliding(grams, w, np.minimum)
+    at = winnow(grams, w)
+    which = np.searchsorted(at, np.arange(len(least)))
+    late = np.flatnonzero(grams[at[which]] != least)
+    while len(late):
+        which[late] += 1
+        late = late[grams[at[which[late]]] != least[late]]
+    return at[which]
 
 
 def suffix_rows(words: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(hash, reach hash, position, offset of the first window, number of windows) of a text's sparse suffixes."""
+    """(hash, reach hash, position, offset of the first window, number of windows) of a text's sparse suffixes.
+
+    A suffix owns the windows whose first least hash it holds: consecutive ones, and
+    every window has one owner. Equal windows give it at the same offset.
+    """
     if len(words) < span:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     grams = gram_hashes(words, gram)
-    at = winnow(grams, span - gram + 1)
-    first, last = _reach(at, len(words), span, gram)
-    at, first, last = (x[last > first] for x in (at, first, last))
+    owner = owners(grams, span - gram + 1)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+    last = np.concatenate([first[1:], [len(owner)]])
+    at = owner[first]
     reach = span_hashes(prefix_sums(words), first, last - 1 + span)
     return grams[at], reach, at, at - first, last - first
 
@@ -74,50 +87,59 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
 
     # One row per suffix content: whether several documents have it (lo < hi), and one suffix that stands for it.
     content = rows.groupBy("h", "reach", "lead", "wins").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.min(F.struct("_id", "_th", "pos")).alias("one"))
-    content = materialise(content, "suffix-contents")
-    several = content.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1").select("h")
+    content = materialise(content.withColumn("cid", F.monotonically_increasing_id()), "suffix-contents")
+    # a hash is opened if several contents have it, and one of them is of a single document
+    several = content.groupBy("h").agg(F.count("*").alias("contents"), F.max(F.col("lo") == F.col("hi")).alias("single")).where("contents > 1 and single").select("h")
     same = content.where("lo < hi").select("h", "reach", "lead", "wins")
 
-    # The suffixes that stand for contents of a hash with several are extended by their windows.
-    stand = content.join(several, "h").select("h", "reach", "lead", "wins", "lo", "hi", "one.*")
-    asked = materialise(stand.groupBy("_id", "_th").agg(F.collect_list(F.struct("h", "reach", "pos", "lead", "wins", "lo", "hi")).alias("asks")), "suffix-asks")
-    texts = own
-    held = asked.join(texts, same_doc(asked, texts)).select("asks", texts["text"])
+    # The suffixes that stand for contents of such a hash are extended by their windows.
+    stand = content.join(several, "h").select("h", "lead", "wins", "lo", (F.col("lo") < F.col("hi")).alias("many"), "cid", "one.*")
+    asked = stand.groupBy("_id", "_th").agg(F.collect_list(F.struct("h", "pos", "lead", "wins", "lo", "many", "cid")).alias("asks"))
+    held = asked.join(own, same_doc(asked, own)).select("asks", own["text"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "reach", "lead", "wins", "offset", "window", "lo", "hi"]
+        names = ["window", "cid", "offset", "lo", "many"]
         for batch in batches:
             for raw, asks in zip(texts_of(batch.column("text")), batch.column("asks"), strict=True):
                 sums = prefix_sums(hash_words(raw, NOT_SPACE))
                 values = asks.values
-                h, reach, pos, lead, wins, lo, hi = (values.field(c).to_numpy() for c in ("h", "reach", "pos", "lead", "wins", "lo", "hi"))
+                h, pos, lead, wins, lo, cid = (values.field(c).to_numpy() for c in ("h", "pos", "lead", "wins", "lo", "cid"))
+                many = values.field("many").to_numpy(zero_copy_only=False)
                 each = np.repeat(np.arange(len(h)), wins)
                 within = np.arange(len(each)) - np.repeat(np.cumsum(wins) - wins, wins)
-                starts = (pos - lead)[each] + within
-                out = [h[each], reach[each], lead[each], wins[each], (lead[each] - within).astype(np.int32), span_hashes(sums, starts.astype(np.int64), starts.astype(np.int64) + span).view(np.int64), lo[each], hi[each]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
-
-    opened = held.mapInArrow(windows, "h bigint, reach bigint, lead int, wins int, offset int, window bigint, lo bigint, hi bigint")
-    # ids and texts may repeat, and each copy answers for its content: keep one answer
-    opened = materialise(opened.distinct(), "suffix-windows")
-    shared = opened.groupBy("h", "offset", "window").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("h", "offset", "window")
-    marks = opened.where("lo = hi").join(shared, ["h", "offset", "window"]).groupBy("h", "reach", "lead", "wins").agg(F.collect_set("offset").alias("offsets"))
-    whole = same.withColumn("offsets", F.sequence(F.col("lead") - F.col("wins") + 1, F.col("lead")))
-    marked = materialise(whole.unionByName(marks), "suffix-marks")
-
-    hit = rows.join(marked, ["h", "reach", "lead", "wins"]).select("_id", "_th", F.explode(F.transform("offsets", lambda o: F.col("pos") - o)).alias("start"))
-    # window starts are runs; a run of starts [a, b] covers the words [a, b + span)
-    found = hit.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+                starts = (pos - lead)[each].astype(np.int64) + within
+                offset = lead[each] - within
+                # windows are compared among the suffixes of one hash at one offset: both go into the key
+                key = mix(span_hashes(sums, starts, starts + span) ^ mix(h.view(np.uint64)[each] + offset.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cid[each]), pa.array(offset.astype(np.int16)), pa.array(lo[each]), pa.array(many[each])], names)
+
+    # copies of a row answer for the same content again, which changes nothing below
+    opened = materialise(held.mapInArrow(windows, "window bigint, cid bigint, offset smallint, lo bigint, many boolean"), "suffix-windows")
+    shared = opened.groupBy("window").agg(F.min("lo").alias("least"), F.max("lo").alias("most"), F.max("many").alias("many")).where("least < most or many").select("window")
+    marks = opened.where("not many").select("window", "cid", "offset").join(shared, "window").groupBy("cid").agg(F.sort_array(F.collect_set(F.col("offset").cast("int"))).alias("offsets"))
+    marks = marks.join(content.select("cid", "h", "reach", "lead", "wins"), "cid")
+    # runs of consecutive offsets; a suffix at pos then has window starts from pos - last to pos - first
+    follows = lambda x, i: F.element_at("offsets", i.cast("int")) + 1 == x
+    firsts = F.filter("offsets", lambda x, i: (i == 0) | ~follows(x, F.greatest(i, F.lit(1))))
+    lasts = F.filter("offsets", lambda x, i: (i == F.size("offsets") - 1) | ~(F.element_at("offsets", F.least(i + 2, F.size("offsets")).cast("int")) - 1 == x))
+    marks = marks.select("h", "reach", "lead", "wins", F.arrays_zip(firsts.alias("first"), lasts.alias("last")).alias("runs"))
+    whole = same.withColumn("runs", F.array(F.struct((F.col("lead") - F.col("wins") + 1).alias("first"), F.col("lead").alias("last"))))
+    marked = materialise(whole.unionByName(marks.select("h", "reach", "lead", "wins", F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"))).alias("runs"))), "suffix-marks")
+
+    hit = rows.join(marked, ["h", "reach", "lead", "wins"]).select("_id", "_th", F.explode("runs").alias("run"), "pos")
+    found = hit.groupBy("_id", "_th").agg(F.collect_list(F.struct((F.col("pos") - F.col("run.last")).alias("first"), (F.col("pos") - F.col("run.first")).alias("last"))).alias("starts"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, totals = [], []
             for starts in batch.column("starts"):
-                s = starts.values.to_numpy().astype(np.int64)
-                cut = np.flatnonzero(np.diff(s) > span)
-                first, last = s[np.concatenate([[0], cut + 1])], s[np.concatenate([cut, [len(s) - 1]])] + span
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(first, last, strict=True)])
-                totals.append(int((last - first).sum()))
+                first, last = (starts.values.field(c).to_numpy().astype(np.int64) for c in ("first", "last"))
+                order = np.lexsort((last, first))
+                first, reach = first[order], np.maximum.accumulate(last[order]) + span
+                cut = np.flatnonzero(first[1:] > reach[:-1])
+                a, b = first[np.concatenate([[0], cut + 1])], reach[np.concatenate([cut, [len(first) - 1]])]
+                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)])
+                totals.append(int((b - a).sum()))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(totals, pa.int64())], ["_id", "_th", "spans", "n_repeated"])
 
     merged = found.mapInArrow(merge, f"_id {kind}, _th bigint, spans array<struct<start:bigint,end:bigint>>, n_repeated bigint")
