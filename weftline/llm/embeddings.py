@@ -35,7 +35,7 @@ from .common import connected_components, materialise, ship, table
 
 COSINE = 0.93
 SAMPLE = 20_000
-TARGET = 0.99
+TARGET = 0.9999
 MEMBERS, VISITORS = 1024, 4096
 #: classes that a cell of a label should hold
 FILL = 8
