@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,6 +40,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _at_exit() -> None:
+    """Deletes what this process wrote to folders that it can reach itself; elsewhere `release` is for the caller."""
+    for path in _WRITTEN:
+        local = path.removeprefix("file://")
+        if os.path.isabs(local):
+            shutil.rmtree(local, ignore_errors=True)
+
+
+atexit.register(_at_exit)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes the tables that `materialise` wrote; call it once results are stored."""
     jvm = spark.sparkContext._jvm
