@@ -65,6 +65,12 @@ def test_simhash_components(documents, no_documents):
     assert simhash.components(no_documents).count() == 0 and simhash.one_of_each(no_documents).count() == 0
 
 
+def test_unrelated_documents_without_an_id_of_their_own_stay(spark, no_documents):
+    texts = [(None, "a first text that has no id"), (None, "something else entirely, again without any"), (9, "one text under the id nine"), (9, "quite other words that share this number")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), "x") for i, t in texts], no_documents.schema)
+    assert sorted(r["text"] for r in simhash.one_of_each(docs).collect()) == sorted(t for _, t in texts)
+
+
 def test_components_settle_beyond_one_task(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "src long, dst long").repartition(3)
     for limit in (0, 1000):

@@ -16,7 +16,8 @@ Components are found on distinct fingerprints (`connected_components`); document
 their class by a join on the fingerprint.
 
 Nulls and texts without words have fingerprint zero and link like any other. A null
-doc_id is a document; a component whose ids are all null has a null component_id.
+doc_id is a document; a component whose ids are all null has a null component_id, so
+what is kept goes by the component's root, never by component_id.
 Repeated rows are separate documents. Empty tables give empty results. Other columns
 do not matter to `components`, and are kept by `one_of_each`.
 """
@@ -142,24 +143,29 @@ def linked(fps: DataFrame) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """One row a document: _id, _th, fp, component_id (the least id reachable by links)."""
+    """One row a document: _id, _th, fp, root (the component's least fingerprint), component_id (the least id reachable by links)."""
     own = materialise(fingerprinted(docs), "simhash-docs")
     classes = own.groupBy("fp").agg(F.min("_id").alias("least"))
     roots = connected_components(linked(classes), "simhash")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-classes")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(least, "root").select("fp", "component_id")
-    return own.join(labels, "fp").select("_id", "_th", "fp", "component_id")
+    labels = rooted.join(least, "root").select("fp", "root", "component_id")
+    return own.join(labels, "fp").select("_id", "_th", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of least id (null ids last; of equal ids the least text hash, of equal rows any one), with all columns of ``docs``."""
-    group = components(docs).groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("_id"), F.col("_th").alias("_th"))).alias("k")).select(F.col("k._id").alias("_wl_id"), F.col("k._th").alias("_wl_th"))
+def least_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One document of each component in ``rooted`` (_id, _th, root): the one of least id (null ids last; of equal ids the least text hash, of equal rows any one), with all columns of ``docs``."""
+    group = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("_id"), F.col("_th").alias("_th"))).alias("k")).select(F.col("k._id").alias("_wl_id"), F.col("k._th").alias("_wl_th"))
     kept = docs.join(group, docs["doc_id"].eqNullSafe(group["_wl_id"]) & (F.xxhash64(docs["text"]) == group["_wl_th"]))
     return kept.dropDuplicates(["_wl_id", "_wl_th"]).select(*[docs[c] for c in docs.columns])
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, by `least_of_each`."""
+    return least_of_each(docs, components(docs))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = components(table(spark, sf_dir, "documents"))
     return out.select(F.col("_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
