@@ -198,6 +198,19 @@ def test_secrets_base_and_battery():
     assert not secrets.random_spans("internationalisierungsmassnahmen characteristicallyunremarkable 12345678901234567890123 a-very-long-hyphenated-name-here", [])
 
 
+def test_secrets_behind_names_and_beside_base_spans():
+    value, tail = "k7Qz2LmX9vTb4RwY8nPc5HsJ3fGd6KaZ", "3f9c0a7be1d84526fa90c7d3"
+    for before, after in (("GITHUB_PAT=", ""), ("https://host/?a=1&sig=", "&b=2"), ("pwd=", "=="), ("A=B=", "")):
+        text = f"see {before}{value}{after} there"
+        found = [text[a:b] for a, b, _ in secrets.random_spans(text, secrets.base_spans(text))]
+        assert found == [value + after * (after == "==")]
+    for text, left in ((f"see {value}{tail} there", value), (f"see {value}-{tail} there", value + "-"), (f"see {tail}Z{value} there", "Z" + value)):
+        base = secrets.base_spans(text)
+        assert [k for _, _, k in base] == ["hex"]
+        assert [text[a:b] for a, b, _ in secrets.random_spans(text, base)] == [left]
+    assert not secrets.random_spans("a_name_of_some_length=another-quite-ordinary-value ====================", [])
+
+
 def test_secret_rows(documents, no_documents):
     rows = secrets.scanned(documents).collect()
     assert len(rows) == 10 and all(r["spans"] == "" and r["n_hex"] == 0 for r in rows)

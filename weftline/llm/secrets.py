@@ -3,8 +3,9 @@
 Base spans, leftmost and non-overlapping per kind: ``assign`` (a keyword, ``:`` or
 ``=``, and a value of 6 or more), ``access`` (AKIA…, 20 or more), ``hex`` (24 or more).
 
-The battery looks at runs of 20 or more of ``A-Za-z0-9+/_=-`` that no base span
-touches. Per run an encoding is inferred from its symbols; under uniform symbols of
+The battery looks at runs of 20 or more of ``A-Za-z0-9+/_-``, with one or two ``=`` as
+padding at their ends (an inner ``=``, as in NAME=value, parts two runs); of a run that
+base spans overlap, the parts of 20 or more outside them. Per run an encoding is inferred from its symbols; under uniform symbols of
 that alphabet three p-values are computed: chi-squared uniformity over alphabet bins,
 the runs test about the middle of the alphabet, and lag-one serial correlation. A run
 that any test rejects is not random. The evidence against ordinary text is an e-value,
@@ -35,7 +36,8 @@ from .common import keyed, table
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{18,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+LEAST = 20
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 ALPHA, REJECT = 0.01, 1e-4
@@ -112,22 +114,34 @@ def log_evidence(run: str, size: int) -> float:
     return -len(run) * math.log(size) - text
 
 
+def _outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of [start, end) that no taken span covers."""
+    parts = []
+    for a, b in sorted((a, b) for a, b, _ in taken if a < end and start < b):
+        if start < a:
+            parts.append((start, a))
+        start = max(start, b)
+    return [*parts, (start, end)] if start < end else parts
+
+
+def _score(run: str) -> float:
+    """The log evidence of a run, minus infinity if it is digits only or a test rejects it."""
+    core = run.rstrip("=") or run
+    name, alphabet = next(((n, x) for n, x in ALPHABETS if set(core) <= set(x)), ("", ""))
+    if not alphabet or name == "digits":
+        return -math.inf
+    where = {c: i for i, c in enumerate(alphabet)}
+    ok = min(battery(np.array([where[c] for c in core]), len(alphabet))) >= REJECT
+    return log_evidence(core, len(alphabet)) if ok else -math.inf
+
+
 def random_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs accepted by the battery and the false-discovery step; hypotheses are all runs of the text."""
+    """Runs accepted by the battery and the false-discovery step; hypotheses are all runs of the text, less what is taken."""
     tested = []
     for m in RUN.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, b, _ in taken):
-            continue
-        run = m.group()
-        core = run.rstrip("=") or run
-        name, alphabet = next(((n, x) for n, x in ALPHABETS if set(core) <= set(x)), ("", ""))
-        if not alphabet or name == "digits":
-            tested.append((-math.inf, start, end))
-            continue
-        where = {c: i for i, c in enumerate(alphabet)}
-        ok = min(battery(np.array([where[c] for c in core]), len(alphabet))) >= REJECT
-        tested.append((log_evidence(core, len(alphabet)) if ok else -math.inf, start, end))
+        for start, end in _outside(*m.span(), taken):
+            if end - start >= LEAST:
+                tested.append((_score(text[start:end]), start, end))
     tested.sort(reverse=True)
     accepted = max((k for k, x in enumerate(tested, 1) if x[0] >= math.log(len(tested) / (k * ALPHA))), default=0)
     return [(start, end, "random") for _, start, end in tested[:accepted]]
