@@ -296,3 +296,23 @@ def test_line_dedup(spark, no_documents):
     assert all(out[100 + i]["text"] == "copied one\ncopied two\ncopied three" for i in range(12))
     assert out[200]["text"] is None and out[201]["text"] == "" and out[202]["text"] == "\n\n"
     assert linededup.without_boilerplate(no_documents).count() == 0
+
+
+def test_line_dedup_of_blocks_and_between_blank_lines(spark, no_documents):
+    rng = np.random.default_rng(2)
+    body = lambda: " ".join(f"v{x}" for x in rng.integers(0, 5000, 30))
+    footer = "We use cookies on this site.\nRead our policy to learn more.\nAll rights reserved."
+    rows = [(i, f"{body()}\n{footer}", "en", f"s{i % 6}", 1, "x") for i in range(12)]
+    rows += [(100 + i, f"{body()}\n\nSubscribe to our newsletter.\n\n{body()}", "en", f"s{i % 6}", 1, "x") for i in range(12)]
+    copied = [body() for _ in range(9)]
+    rows += [(200 + i, "\n".join(copied), "en", f"s{i % 6}", 1, "x") for i in range(6)]
+    near = ["\n".join([f"Posted by member {i}", *copied[:4], f"{copied[4]} {i}", *copied[5:]]) for i in range(6)]
+    rows += [(300 + i, t, "en", f"s{i % 6}", 1, "x") for i, t in enumerate(near)]
+    docs = spark.createDataFrame(rows, no_documents.schema)
+    out = {r["doc_id"]: r["text"] for r in linededup.without_boilerplate(docs).collect()}
+    for i, text, *_ in rows[:12]:
+        assert out[i] == text.split("\n")[0]
+    for i, text, *_ in rows[12:24]:
+        assert out[i] == text.replace("Subscribe to our newsletter.\n", "")
+    inner = set(copied[1:3])
+    assert all(out[i] == "\n".join(copied) or inner <= set(out[i].split("\n")) for i in out if i >= 200)

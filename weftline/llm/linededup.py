@@ -1,20 +1,25 @@
 """Line dedup by distinct-site spread.
 
 A line (trimmed of white space at its ends, not empty) is boilerplate if it stands on
-many sites in many places: at least ``min_sites`` distinct sites, and at least
-``min_places`` distinct places, a place being the hashes of the lines before and after.
-The second count tells boilerplate, which recurs among different neighbours, from the
-lines of copied documents, whose neighbours are copied too: a document that was copied
-to many sites keeps its text (near-dedup decides about it).
+many sites in many settings: at least ``min_sites`` distinct sites, and at least
+``min_places`` distinct places, a place being the hashes of the lines before and after,
+or else in texts of at least ``min_places`` distinct near-duplicate groups. The second
+count tells boilerplate from the lines of copied documents, which are one group: a
+document that was copied to many sites keeps its text (near-dedup decides about it).
+Groups settle what places cannot: the inner lines of a block that always stands
+together, and lines between blank lines. They are those of `neardup` among the texts
+with a line that has the sites but not the places.
 
 Sites and places are counted by HyperLogLog sketches per line hash, merged by
 aggregation (a line of a third of all rows is one sketch per map task). A count whose
 sketch estimate lies within ``margin`` of its threshold is replaced by the exact
 distinct count, taken for those lines alone. Decisions so equal those of exact counts
 unless a sketch errs by more than ``margin``, which is over six standard errors.
+Groups are counted exactly.
 
 Nulls: a null text keeps null; a null source is a site of its own; null ids are fine.
-Repeated rows count as one place each time they are equal in both neighbours. Empty
+Repeated rows count as one place each time they are equal in both neighbours, and as
+one group. Empty
 and blank lines are never removed. Empty tables give empty results. All columns are kept.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import neardup
 from .common import keyed, materialise, ship, table
 
 MIN_SITES = 5
@@ -40,33 +46,50 @@ def _trimmed(line: Column) -> Column:
 
 
 def line_sites(docs: DataFrame) -> DataFrame:
-    """(line, site, place): 64-bit hashes for every line that is not blank."""
+    """(line, site, text, place): 64-bit hashes for every line that is not blank."""
     hashes = F.transform(lines_of(F.col("text").cast("string")), lambda x: F.when(_trimmed(x) != "", F.xxhash64(_trimmed(x))))
-    rows = docs.select(F.xxhash64("source").alias("site"), hashes.alias("hs"))
-    rows = rows.select("site", "hs", F.posexplode("hs").alias("i", "line")).where("line is not null")
-    return rows.select("line", "site", F.xxhash64(F.when(F.col("i") > 0, F.expr("hs[i - 1]")), F.when(F.col("i") + 1 < F.size("hs"), F.expr("hs[i + 1]"))).alias("place"))
+    rows = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("text"), hashes.alias("hs"))
+    rows = rows.select("site", "text", "hs", F.posexplode("hs").alias("i", "line")).where("line is not null")
+    return rows.select("line", "site", "text", F.xxhash64(F.when(F.col("i") > 0, F.expr("hs[i - 1]")), F.when(F.col("i") + 1 < F.size("hs"), F.expr("hs[i + 1]"))).alias("place"))
+
+
+def _at_least(candidates: DataFrame, estimated: DataFrame, what: str, least: int, margin: float) -> DataFrame:
+    """(line, n_<what>s) of the lines with at least ``least`` distinct values of ``what``: by estimate, or exactly where that is near."""
+    n = f"n_{what}s"
+    far = estimated.where(F.col(what) > least * (1 + margin)).select("line", F.col(what).cast("long").alias(n))
+    near = estimated.where(F.col(what).between(least * (1 - margin), least * (1 + margin))).select("line")
+    exact = candidates.join(near, "line").select("line", what).distinct().groupBy("line").agg(F.count("*").alias(n))
+    return far.unionByName(exact.where(F.col(n) >= least))
+
+
+def _in_groups(docs: DataFrame, rows: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """(line, n_groups) of the lines in ``held`` that stand in texts of at least ``least`` near-duplicate groups."""
+    stands = materialise(rows.join(held.select("line"), "line").select("line", F.col("text").alias("_th")).distinct(), "lines-held")
+    texts = docs.join(stands.select("_th").distinct(), F.xxhash64(docs["text"]) == F.col("_th"), "left_semi")
+    roots = neardup.components(texts).select("_th", "root").distinct()
+    groups = stands.join(roots, "_th").select("line", "root").distinct().groupBy("line").agg(F.count("*").alias("n_groups"))
+    return groups.where(F.col("n_groups") >= least)
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_places: int = MIN_PLACES, margin: float = MARGIN) -> DataFrame:
-    """(line, n_sites, n_places) of the lines to remove."""
+    """(line, n_sites, n_places, n_groups) of the lines to remove; one of the last two is null, the one that did not decide."""
     ship(docs.sparkSession)
     rows = materialise(line_sites(docs), "lines")
-    # Lines of one site or place cannot reach a threshold of two or more; most lines go here, by a partial aggregate.
-    spread = rows.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"), F.min("place").alias("p0"), F.max("place").alias("p1"))
-    wide = spread.where(((F.col("s0") != F.col("s1")) | F.lit(min_sites < 2)) & ((F.col("p0") != F.col("p1")) | F.lit(min_places < 2))).select("line")
-    candidates = rows.join(wide, "line").groupBy("line", "site", "place").count().select("line", "site", "place")
+    # Lines of one site cannot reach a threshold of two or more; most lines go here, by a partial aggregate.
+    spread = rows.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"))
+    wide = spread.where((F.col("s0") != F.col("s1")) | F.lit(min_sites < 2)).select("line")
+    candidates = rows.join(wide, "line").select("line", "site", "place").distinct()
     candidates = materialise(candidates, "lines-wide")
-    estimated = candidates.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"), F.hll_sketch_estimate(F.hll_sketch_agg("place", F.lit(LOG_K))).alias("places"))
+    estimated = candidates.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LOG_K))).alias(c) for c in ("site", "place")])
     estimated = materialise(estimated, "lines-estimated")
-    low = lambda c, t: F.col(c) < t * (1 - margin)
-    high = lambda c, t: F.col(c) > t * (1 + margin)
-    far = estimated.where(high("sites", min_sites) & high("places", min_places)).select("line", F.col("sites").cast("long").alias("n_sites"), F.col("places").cast("long").alias("n_places"))
-    near = estimated.where(~low("sites", min_sites) & ~low("places", min_places) & ~(high("sites", min_sites) & high("places", min_places))).select("line")
-    exact = candidates.join(near, "line")
-    sites = exact.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
-    places = exact.select("line", "place").distinct().groupBy("line").agg(F.count("*").alias("n_places"))
-    exact = sites.join(places, "line").where((F.col("n_sites") >= min_sites) & (F.col("n_places") >= min_places))
-    return materialise(far.unionByName(exact), "lines-out")
+    sites = materialise(_at_least(candidates, estimated, "site", min_sites, margin), "lines-sites")
+    judged = sites.join(_at_least(candidates, estimated.join(sites, "line", "left_semi"), "place", min_places, margin), "line", "left")
+    judged = materialise(judged, "lines-judged")
+    placed, held = judged.where("n_places is not null"), judged.where("n_places is null")
+    if held.isEmpty():
+        return placed.withColumn("n_groups", F.lit(None).cast("long"))
+    grouped = held.join(_in_groups(docs, rows, held, min_places), "line")
+    return materialise(placed.unionByName(grouped, allowMissingColumns=True), "lines-out")
 
 
 def removals(docs: DataFrame, **how) -> DataFrame:
