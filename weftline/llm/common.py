@@ -19,14 +19,26 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from ..storage import materialise
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+#: rows of an Arrow batch; whole texts are large, and a batch is held at once by the JVM and by its Python worker
+BATCH_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds the Arrow batches of a session that has left them at Spark's default."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_id, _th, text): the document key is the id with a hash of the text, so ids may repeat or be null."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).cast("string").alias("text"))
 
 
