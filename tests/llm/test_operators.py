@@ -316,3 +316,59 @@ def test_line_dedup_of_blocks_and_between_blank_lines(spark, no_documents):
         assert out[i] == text.replace("Subscribe to our newsletter.\n", "")
     inner = set(copied[1:3])
     assert all(out[i] == "\n".join(copied) or inner <= set(out[i].split("\n")) for i in out if i >= 200)
+
+
+def brute_kept_lines(docs, min_sites=5):
+    """(text without boilerplate) by the documented rule, over all pairs of texts."""
+    trim = lambda x: x.translate(str.maketrans("\t\r\x0b\x0c", "    ")).strip(" ")
+    number = lambda s: -1 if s is None else int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
+    site = {}
+    for _, text, source in docs:
+        if text is not None:
+            site[text] = min(site.get(text, 1 << 62), number(source))
+    lines = {t: {trim(x) for x in t.split("\n")} - {""} for t in site}
+    spread = lambda where: {x for x in set().union(*where.values(), set()) if len({site[t] for t in where if x in where[t]}) >= min_sites}
+    wide = spread(lines)
+    held = sorted(t for t in lines if lines[t] & wide)
+    grams = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in held for w in [spaced(t)]}
+    root = {t: t for t in held}
+    changed = True
+    while changed:
+        changed = False
+        for a in held:
+            for b in held:
+                if root[a] != root[b] and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    gone = set()
+    for x in wide:
+        least = {}
+        for t in held:
+            if x in lines[t]:
+                least[root[t]] = min(least.get(root[t], 1 << 62), site[t])
+        if len(set(least.values())) >= min_sites:
+            gone.add(x)
+    return [None if t is None else "\n".join(x for x in t.split("\n") if trim(x) not in gone) for _, t, _ in docs]
+
+
+def test_line_dedup_equals_brute_force(spark, no_documents):
+    rng = np.random.default_rng(8)
+    body = lambda n=12: " ".join(f"v{x}" for x in rng.integers(0, 5000, n))
+    block = "Cookie notice\nWe use cookies.\nAll rights reserved.\nImprint\nTerms of use"
+    rows = [(i, f"{body()}\n{block}\n{body(3)}", f"site{i}") for i in range(30)]
+    rows += [(100 + i, f"{body()}\nRare line\n \t\n{body()}", f"site{i % 4}") for i in range(20)]
+    rows += [(200 + i, f"{body()}\nFive exactly", f"site{i % 5}" if i % 5 else None) for i in range(20)]
+    copied = [body(20) for _ in range(8)]
+    rows += [(300 + i, "\n".join(copied), f"site{i}") for i in range(9)]
+    rows += [(400 + i, "\n".join([*copied[:5], copied[5] + f" x{i}", *copied[6:], f"only {i}"]), f"site{i}") for i in range(9)]
+    long = "\n".join(body(6) for _ in range(6000))
+    rows += [(500, long + "\nImprint", "site1"), (None, None, "s"), (None, "", None), (502, "\n\n", "s"), (503, block, "site2"), rows[0], rows[0], (0, "other text under one id\nImprint", "site3")]
+    docs = spark.createDataFrame([(i, t, "en", s, 7, "x") for i, t, s in rows], no_documents.schema)
+    expected = brute_kept_lines(rows)
+    assert expected[0].count("\n") == 1 and "Rare line" in expected[30] and "Five" not in expected[50] and expected[70] == rows[70][1]
+    out = linededup.without_boilerplate(docs)
+    assert out.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    found = out.collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=key) == sorted(((d, e) for (d, _, _), e in zip(rows, expected, strict=True)), key=key)
+    assert all(r["n_chars"] in (7, len(r["text"] or "")) for r in found)

@@ -1,121 +1,145 @@
 """Line dedup by distinct-site spread.
 
-A line (trimmed of white space at its ends, not empty) is boilerplate if it stands on
-many sites in many settings: at least ``min_sites`` distinct sites, and at least
-``min_places`` distinct places, a place being the hashes of the lines before and after,
-or else in texts of at least ``min_places`` distinct near-duplicate groups. The second
-count tells boilerplate from the lines of copied documents, which are one group: a
-document that was copied to many sites keeps its text (near-dedup decides about it).
-Groups settle what places cannot: the inner lines of a block that always stands
-together, and lines between blank lines. They are those of `neardup` among the texts
-with a line that has the sites but not the places.
-
-Sites and places are counted by HyperLogLog sketches per line hash, merged by
-aggregation (a line of a third of all rows is one sketch per map task). A count whose
-sketch estimate lies within ``margin`` of its threshold is replaced by the exact
-distinct count, taken for those lines alone. Decisions so equal those of exact counts
-unless a sketch errs by more than ``margin``, which is over six standard errors.
-Groups are counted exactly.
+A line (trimmed of white space at its ends, not empty) is boilerplate if it stands on at
+least ``min_sites`` distinct sites, counted over distinct documents: a near-duplicate
+group (5-word shingles, similarity 0.8 or more; exact copies are one text to begin with)
+counts at one site, the least of its texts that hold the line. So a document that was
+copied to many sites keeps its text, and near-dedup decides about it, while a block of
+any length on many sites goes whole.
+
+1. Every distinct text counts at the least site of its copies. Lines of one site are put
+   aside by a partial aggregate; the others get a HyperLogLog sketch of their sites per
+   line hash, built in the map-side aggregate and merged (a line of a third of all rows
+   is one sketch per map task).
+2. A line whose estimate lies within ``margin`` of the threshold gets the exact distinct
+   count, taken for such lines alone; beyond that the estimate decides. ``margin`` is
+   over six standard errors of the sketch.
+3. The groups among the texts that hold a line left by (2) are found by `neardup`, and
+   the sites of the line are counted once more, one for each group.
+
+The least site is that of the least number (60 bits of the md5 of the source).
 
 Nulls: a null text keeps null; a null source is a site of its own; null ids are fine.
-Repeated rows count as one place each time they are equal in both neighbours, and as
-one group. Empty
-and blank lines are never removed. Empty tables give empty results. All columns are kept.
+Repeated rows are one text. Empty and blank lines are never removed. Texts of any length
+are read whole, line by line. Empty tables give empty results. All columns are kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import keyed, materialise, ship, table
+from .common import materialise, prepare, table, texts_of
 
 MIN_SITES = 5
-MIN_PLACES = 5
 MARGIN = 0.15
 LOG_K = 12
-
-
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
-def _trimmed(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
-
-
-def line_sites(docs: DataFrame) -> DataFrame:
-    """(line, site, text, place): 64-bit hashes for every line that is not blank."""
-    hashes = F.transform(lines_of(F.col("text").cast("string")), lambda x: F.when(_trimmed(x) != "", F.xxhash64(_trimmed(x))))
-    rows = docs.select(F.xxhash64("source").alias("site"), F.xxhash64("text").alias("text"), hashes.alias("hs"))
-    rows = rows.select("site", "text", "hs", F.posexplode("hs").alias("i", "line")).where("line is not null")
-    return rows.select("line", "site", "text", F.xxhash64(F.when(F.col("i") > 0, F.expr("hs[i - 1]")), F.when(F.col("i") + 1 < F.size("hs"), F.expr("hs[i + 1]"))).alias("place"))
-
-
-def _at_least(candidates: DataFrame, estimated: DataFrame, what: str, least: int, margin: float) -> DataFrame:
-    """(line, n_<what>s) of the lines with at least ``least`` distinct values of ``what``: by estimate, or exactly where that is near."""
-    n = f"n_{what}s"
-    far = estimated.where(F.col(what) > least * (1 + margin)).select("line", F.col(what).cast("long").alias(n))
-    near = estimated.where(F.col(what).between(least * (1 - margin), least * (1 + margin))).select("line")
-    exact = candidates.join(near, "line").select("line", what).distinct().groupBy("line").agg(F.count("*").alias(n))
-    return far.unionByName(exact.where(F.col(n) >= least))
-
-
-def _in_groups(docs: DataFrame, rows: DataFrame, held: DataFrame, least: int) -> DataFrame:
-    """(line, n_groups) of the lines in ``held`` that stand in texts of at least ``least`` near-duplicate groups."""
-    stands = materialise(rows.join(held.select("line"), "line").select("line", F.col("text").alias("_th")).distinct(), "lines-held")
-    texts = docs.join(stands.select("_th").distinct(), F.xxhash64(docs["text"]) == F.col("_th"), "left_semi")
-    roots = neardup.components(texts).select("_th", "root").distinct()
-    groups = stands.join(roots, "_th").select("line", "root").distinct().groupBy("line").agg(F.count("*").alias("n_groups"))
-    return groups.where(F.col("n_groups") >= least)
-
-
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_places: int = MIN_PLACES, margin: float = MARGIN) -> DataFrame:
-    """(line, n_sites, n_places, n_groups) of the lines to remove; one of the last two is null, the one that did not decide."""
-    ship(docs.sparkSession)
-    rows = materialise(line_sites(docs), "lines")
-    # Lines of one site cannot reach a threshold of two or more; most lines go here, by a partial aggregate.
-    spread = rows.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"))
-    wide = spread.where((F.col("s0") != F.col("s1")) | F.lit(min_sites < 2)).select("line")
-    candidates = rows.join(wide, "line").select("line", "site", "place").distinct()
-    candidates = materialise(candidates, "lines-wide")
-    estimated = candidates.groupBy("line").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LOG_K))).alias(c) for c in ("site", "place")])
-    estimated = materialise(estimated, "lines-estimated")
-    sites = materialise(_at_least(candidates, estimated, "site", min_sites, margin), "lines-sites")
-    judged = sites.join(_at_least(candidates, estimated.join(sites, "line", "left_semi"), "place", min_places, margin), "line", "left")
-    judged = materialise(judged, "lines-judged")
-    placed, held = judged.where("n_places is not null"), judged.where("n_places is null")
-    if held.isEmpty():
-        return placed.withColumn("n_groups", F.lit(None).cast("long"))
-    grouped = held.join(_in_groups(docs, rows, held, min_places), "line")
-    return materialise(placed.unionByName(grouped, allowMissingColumns=True), "lines-out")
-
-
-def removals(docs: DataFrame, **how) -> DataFrame:
-    """(_id, _th, kept_text, n_lines, n_removed) of the documents that lose a line, one row per distinct (id, text)."""
-    out = boilerplate(docs, **how).select("line")
-    own = keyed(docs)
-    hashes = F.transform(lines_of(F.col("text")), lambda x: F.when(_trimmed(x) != "", F.xxhash64(_trimmed(x))))
-    lines = own.select("_id", "_th", F.posexplode(hashes).alias("i", "line")).where("line is not null")
-    hit = lines.join(out, "line").groupBy("_id", "_th").agg(F.collect_set("i").alias("gone"))
-    return hit
+_BLANKS = bytes.maketrans(b"\t\r\x0b\x0c", b"    ")
+
+
+def site_of(source: Column) -> Column:
+    """The number of a site; null is a site of its own."""
+    return F.coalesce(F.conv(F.substring(F.md5(source.cast("string")), 1, 15), 16, 10).cast("long"), F.lit(-1))
+
+
+def line_hash(line: bytes) -> int | None:
+    """A signed 64-bit hash of a trimmed line, None if it is blank."""
+    line = line.translate(_BLANKS).strip(b" ")
+    return xxhash.xxh64_intdigest(line) - (1 << 63) if line else None
+
+
+def _bytes_of(column: pa.Array) -> Iterator[bytes | None]:
+    for raw in texts_of(column):
+        yield None if raw is None else raw.tobytes()
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sorted({h for x in (text or b"").split(b"\n") if (h := line_hash(x)) is not None}) for text in _bytes_of(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "site")), pa.array(found, pa.list_(pa.int64()))], ["_id", "_th", "site", "lines"])
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """(_id, _th, site, lines) of every row: the distinct hashes of its lines that are not blank. Written."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), site_of(F.col("source")).alias("site"), F.col("text").cast("string").alias("text"))
+    return materialise(rows.mapInArrow(_scan, f"_id {rows.schema['_id'].dataType.simpleString()}, _th bigint, site bigint, lines array<bigint>"), "lines-docs")
+
+
+def spread(rows: DataFrame, min_sites: int, margin: float) -> DataFrame:
+    """(line, n_sites) of the lines on at least ``min_sites`` distinct sites, from (line, site); n_sites is an estimate beyond the margin."""
+    ends = rows.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"))
+    wide = rows.join(ends.where((F.col("s0") != F.col("s1")) | F.lit(min_sites < 2)).select("line"), "line")
+    estimated = wide.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("n_sites"))
+    estimated = materialise(estimated.where(F.col("n_sites") >= min_sites * (1 - margin)), "lines-estimated")
+    near = F.col("n_sites") <= min_sites * (1 + margin)
+    exact = rows.join(estimated.where(near).select("line"), "line").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
+    return estimated.where(~near).select("line", F.col("n_sites").cast("long").alias("n_sites")).unionByName(exact.where(F.col("n_sites") >= min_sites))
+
+
+def boilerplate(docs: DataFrame, lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+    """(line, n_sites) of the lines to remove; ``lines`` is `scanned` of ``docs``."""
+    # equal texts have equal lines: one row stands for all copies
+    texts = lines.where(F.size("lines") > 0).groupBy("_th").agg(F.min(F.struct("site", "lines")).alias("m")).select("_th", "m.site", "m.lines")
+    texts = materialise(texts, "lines-texts")
+    rows = texts.select("_th", "site", F.explode("lines").alias("line"))
+    wide = materialise(spread(rows.select("line", "site"), min_sites, margin), "lines-wide")
+    stands = materialise(rows.join(wide.select("line"), "line"), "lines-held")
+    held = docs.join(stands.select("_th").distinct(), F.xxhash64(docs["text"]) == F.col("_th"), "left_semi")
+    groups = neardup.components(held).select("_th", "root").distinct()
+    sites = stands.join(groups, "_th").groupBy("line", "root").agg(F.min("site").alias("site"))
+    counted = sites.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
+    return materialise(counted.where(F.col("n_sites") >= min_sites), "lines-out")
+
+
+def stripped(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` without boilerplate lines in ``text`` and with ``n_chars`` (if there) set anew; two more columns: _wl_lines, _wl_removed. No row is dropped."""
+    lines = scanned(docs)
+    gone = boilerplate(docs, lines, **how).select("line")
+    hit = lines.select("_id", "_th", F.explode("lines").alias("line")).join(gone, "line").groupBy("_id", "_th").agg(F.collect_set("line").alias("_wl_gone"))
+    own = docs.withColumns({"_wl_id": F.col("doc_id"), "_wl_th": F.xxhash64("text")})
+    joined = own.join(hit, own["_wl_id"].eqNullSafe(hit["_id"]) & (own["_wl_th"] == hit["_th"]), "left").select(*[own[c] for c in docs.columns], "_wl_gone")
+    names = docs.columns
+    chars = names.index("n_chars") if "n_chars" in names else None
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i) for i in range(len(names))]
+            at = names.index("text")
+            texts, removed, totals, lengths = [], [], [], []
+            for text, out in zip(_bytes_of(columns[at]), batch.column("_wl_gone").to_pylist(), strict=True):
+                parts = text.split(b"\n") if text is not None else []
+                kept = parts
+                if out:
+                    out = set(out)
+                    kept = [x for x in parts if line_hash(x) not in out]
+                    text = b"\n".join(kept)
+                texts.append(text)
+                totals.append(len(parts))
+                removed.append(len(parts) - len(kept))
+                lengths.append(int(np.count_nonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)) if out else None)
+            columns[at] = pa.array(texts, pa.binary()).view(pa.string())
+            if chars is not None:
+                fresh = pa.array(lengths, pa.int64()).cast(columns[chars].type)
+                columns[chars] = pc.if_else(fresh.is_valid(), fresh, columns[chars])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], [*names, "_wl_lines", "_wl_removed"])
+
+    schema = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names]).withColumns({"_wl_lines": F.lit(0).cast("long"), "_wl_removed": F.lit(0).cast("long")}).schema
+    return joined.mapInArrow(strip, schema)
 
 
 def without_boilerplate(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text`` and ``n_chars`` (if there) set anew; no row is dropped."""
-    hit = removals(docs, **how).select(F.col("_id").alias("_wl_id"), F.col("_th").alias("_wl_th"), F.col("gone").alias("_wl_gone"))
-    joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit["_wl_id"]) & (F.xxhash64(docs["text"]) == hit["_wl_th"]), "left")
-    kept = F.array_join(F.filter(lines_of(docs["text"]), lambda x, i: ~F.array_contains("_wl_gone", i)), "\n")
-    text = F.when(F.col("_wl_gone").isNull(), docs["text"]).otherwise(kept)
-    chars = {"n_chars": F.when(F.col("_wl_gone").isNull(), docs["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {}
-    return joined.select(*[text.alias("text") if c == "text" else chars.get(c, docs[c]) for c in docs.columns])
+    return stripped(docs, **how).drop("_wl_lines", "_wl_removed")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    own, hit = keyed(docs), removals(docs)
-    joined = own.join(hit, own["_id"].eqNullSafe(hit["_id"]) & (own["_th"] == hit["_th"]), "left")
-    lines = lines_of(own["text"])
-    kept = F.when(F.col("gone").isNull(), own["text"]).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    return joined.select(own["_id"].alias("doc_id"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).alias("n_removed"), kept.alias("text"))
+    out = stripped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_wl_lines").cast("int").alias("n_lines"), F.col("_wl_removed").cast("int").alias("n_removed"), "text")

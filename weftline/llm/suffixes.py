@@ -174,7 +174,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     doc = F.xxhash64(F.col("_id").cast("string"), F.col("_id").isNull(), "_th")
 
     # Most first words stand in one document; the rest of the work sees the others only.
-    shared = rows.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("h")
+    # (written, so that the join reads two plain shuffles and a hot key can be split)
+    shared = materialise(rows.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("h"), "suffix-firsts")
     rows = materialise(rows.join(shared, "h"), "suffix-shared")
     contents = rows.groupBy("h", "content").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), *[F.first(c).alias(c) for c in ("_id", "_th", "pos", "lead", "wins")])
     contents = materialise(contents.withColumn("many", F.col("lo") < F.col("hi")).drop("hi"), "suffix-contents")
@@ -182,7 +183,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     whole = contents.where("many").select("h", "content", owned.alias("runs"))
 
     # First words with several contents, one of them of a single document, are opened.
-    several = contents.groupBy("h").agg(F.count("*").alias("n"), F.min("many").alias("all")).where("n > 1 and not all").select("h")
+    several = materialise(contents.groupBy("h").agg(F.count("*").alias("n"), F.min("many").alias("all")).where("n > 1 and not all").select("h"), "suffix-several")
     asked = contents.join(several, "h").groupBy("_id", "_th").agg(F.collect_list(F.struct("h", "content", "lo", "many", "pos", "lead", "wins")).alias("asks"))
     held = asked.join(own, same_doc(asked, own)).select("asks", own["text"])
 
