@@ -174,13 +174,14 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
 # --- components --------------------------------------------------------------------------
 
 
-#: edges up to which one task may settle all components (two longs an edge)
-ONE_TASK_EDGES = 250_000
+#: edges of a task that are reduced to a forest at a time, which bounds its memory
+FOREST_EDGES = 200_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) edges to (a, least node of its component) among the edges of one task, by union-find."""
+    """(a, b) edges to (a, least node of its component) among FOREST_EDGES edges of one task at a time, by union-find."""
     parent: dict[int, int] = {}
+    taken = 0
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -191,44 +192,49 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def find_new(x: int) -> int:
         return find(x) if x in parent else parent.setdefault(x, x)
 
+    def stars() -> pa.RecordBatch:
+        found = [(x, r) for x in parent if (r := find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = find_new(a), find_new(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    found = [(x, find(x)) for x in parent]
-    found = [(x, r) for x, r in found if x != r]
-    for at in range(0, len(found), 50_000):
-        part = found[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
+        taken += batch.num_rows
+        if taken >= FOREST_EDGES:
+            yield stars()
+            parent, taken = {}, 0
+    if parent:
+        yield stars()
 
 
-def connected_components(edges: DataFrame, tag: str, rounds: int = 60, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge in ``edges`` (src, dst longs); root is the least node of its component.
 
-    The edges of each task are first reduced to a forest by union-find. Up to
-    ``one_task`` edges, a checked count, that is one task and the answer. Beyond it
-    large-star and small-star steps alternate over the forests; every round is a
-    written table, so a lost executor costs at most one round. The driver holds two
-    numbers a round. Self-loops are ignored; an empty edge table gives an empty result.
+    The edges of each task are first reduced to forests by union-find. Large-star and
+    small-star steps then alternate over these until nothing changes; every round is a
+    written table, so a lost executor costs at most one round. The least neighbours are
+    written too, so that the joins read plain shuffles and the star of one huge component
+    can be split. The driver holds two numbers a round. Rounds grow with the logarithm
+    of the longest chain; after ``rounds`` of them, far more than any graph needs, an
+    error is raised rather than a wrong answer given. Self-loops are ignored; an empty
+    edge table gives an empty result.
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-    state = materialise(pairs, f"{tag}-edges")
-    small = state.count() <= one_task
-    state = materialise((state.coalesce(1) if small else state).mapInArrow(_forest, "a bigint, b bigint"), f"{tag}-cc")
+    state = materialise(pairs.mapInArrow(_forest, "a bigint, b bigint").distinct(), f"{tag}-cc")
     before = None
-    for _ in range(0 if small else rounds):
+    for _ in range(rounds):
         seen = state.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if not seen["n"] or before == (seen["n"], seen["x"]):
             break
         before = (seen["n"], seen["x"])
         both = state.union(state.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{tag}-least")
+        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{tag}-large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-least")
         joined = large.join(least, "a").select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         state = materialise(joined.select("e.*").where("a <> b").distinct(), f"{tag}-cc")
     else:
-        if not small:
-            raise RuntimeError("connected components did not settle")
+        raise RuntimeError("connected components did not settle")
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

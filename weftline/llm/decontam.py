@@ -11,7 +11,9 @@ Before the join, document fingerprints pass a bitmap of the benchmark's fingerpr
 Its size is fixed (8 MB of slots at most, whatever the benchmark), so it is safe to
 send to every task; it only removes fingerprints that cannot join.
 
-Nulls: a null or empty text has no words, and no hit. Null item texts have no window.
+Nulls: a null or empty text has no words, and no hit. Null item texts have no window. An
+item without an id has windows like any other, which are hit; it has no name to list, so
+it counts in n_hit and contaminated, not in items and n_items.
 Repeated rows are separate documents with equal results; repeated item ids count once.
 Empty tables give empty results (documents against an empty benchmark: no hits).
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of texts whose A-Z are lower-cased.
@@ -88,7 +90,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram
                 found.append(_fp_rows(words, window, gram, [n] if 0 < n < window else []))
             yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(found, _arrow_fp())], ["item", "fps"])
 
-    items = bench.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
+    items = bench.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     items = items.mapInArrow(of_items, f"item string, fps {fp_type}").select("item", F.explode("fps").alias("f")).select("item", "f.h", "f.len", "f.pos", "f.wins")
     items = materialise(items.distinct(), "decontam-items")
 
@@ -122,7 +124,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram
     cand = scanned.where(F.size("fps") > 0).select("_id", "_th", F.explode("fps").alias("f")).select("_id", "_th", "f.h", "f.len", "f.pos", "f.wins").distinct()
     # A benchmark fingerprint stands once per alignment of equal windows; items come in later, by window.
     by_window = items.select("h", "len", F.posexplode("wins").alias("off", "win"), "item").where("win is not null")
-    windows = by_window.select("h", "len", "off", "win").distinct()
+    windows = materialise(by_window.select("h", "len", "off", "win").distinct(), "decontam-windows")
     around = cand.select("_id", "_th", "h", "len", "pos", F.posexplode("wins").alias("off", "win")).where("win is not null")
     extended = around.join(windows, ["h", "len", "off", "win"])
     hits = extended.select("_id", "_th", "len", (F.col("pos") - F.col("off")).alias("start"), "win").distinct()

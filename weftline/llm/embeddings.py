@@ -45,7 +45,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray
     """Lloyd's algorithm from a seeded choice of points; empty clusters keep their centroid."""
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        near = distances(x, centres).argmin(axis=1)
+        near = np.concatenate([distances(x[s : s + 1024], centres).argmin(axis=1) for s in range(0, len(x), 1024)])
         counts = np.bincount(near, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -88,20 +88,31 @@ class Grid:
             far, home = self._far(a[s : s + 256]), self._far(b[s : s + 256])
             each = np.arange(len(far[0]))
             own = far[0][each, home[0].argmin(axis=1)] + far[1][each, home[1].argmin(axis=1)]
-            ranks.append(((far[0][:, :, None] + far[1][:, None, :]) < own[:, None, None]).sum(axis=(1, 2)))
-        return int(np.quantile(np.concatenate(ranks), target, method="higher")) + 2
+            # cells nearer than the own one: for each centroid of one half, those of the other below what is left
+            for first, second, limit in zip(far[0], np.sort(far[1], axis=1), own, strict=True):
+                ranks.append(np.searchsorted(second, limit - first).sum())
+        return int(np.quantile(np.array(ranks), target, method="higher")) + 2
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(home cell, visited cells in traversal order) of each vector. In the order of the sum, the first v cells use the first v centroids of each half only."""
+        """(home cell, visited cells in traversal order) of each vector.
+
+        With both halves' centroids in order of distance, the cell (i, j) comes after the
+        (i + 1) (j + 1) cells up to it, so the first v cells of the traversal are among
+        those with (i + 1) (j + 1) <= v: about v log v of the v * v.
+        """
         far = self._far(unit)
         v = min(self.visits, self.k * self.k)
         first = [np.argsort(f, axis=1, kind="stable")[:, : min(v, self.k)] for f in far]
         near = [np.take_along_axis(f, o, 1) for f, o in zip(far, first, strict=True)]
-        width = first[1].shape[1]
-        total = (near[0][:, :, None] + near[1][:, None, :]).reshape(len(unit), -1)
-        order = np.argsort(total, axis=1, kind="stable")[:, :v]
-        rows = np.arange(len(unit))[:, None]
-        seen = first[0][rows, order // width] * self.k + first[1][rows, order % width]
+        width = first[0].shape[1]
+        js = [np.arange(min(width, v // (i + 1))) for i in range(width)]
+        i, j = np.repeat(np.arange(width), [len(x) for x in js]), np.concatenate(js)
+        seen = np.empty((len(unit), v), np.int64)
+        step = max(1, (1 << 22) // len(i))
+        for s in range(0, len(unit), step):
+            part = slice(s, s + step)
+            order = np.argsort(near[0][part][:, i] + near[1][part][:, j], axis=1, kind="stable")[:, :v]
+            seen[part] = np.take_along_axis(first[0][part], i[order], 1) * self.k + np.take_along_axis(first[1][part], j[order], 1)
         return first[0][:, 0] * self.k + first[1][:, 0], seen
 
 
@@ -139,8 +150,11 @@ def _block(width: int, cosine: float):
         if not len(i):
             return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
         hn, vn, home = members["n"].to_numpy(), visitors["n"].to_numpy(), visitors["home"].to_numpy()
-        seen = [set(x) for x in members["seen"]]
-        one_sided = np.array([home[a] not in seen[b] for a, b in zip(i, j, strict=True)])
+        # whether the member has visited the visitor's home, as (member, cell) codes
+        sizes = members["seen"].str.len().to_numpy()
+        cells = np.concatenate(members["seen"].to_list()).astype(np.int64)
+        span = int(max(cells.max(), home.max())) + 1
+        one_sided = ~np.isin(j * span + home[i], np.repeat(np.arange(len(sizes)), sizes) * span + cells)
         nodes = np.concatenate([vid[i], hid[j[one_sided]]])
         links = np.concatenate([hn[j], vn[i[one_sided]]])
         names, at = np.unique(np.concatenate([vid[i], hid[j]]), return_inverse=True)
@@ -167,7 +181,9 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TAR
     ship(spark)
     own = rows.select("vec_id", F.col("label"), "embedding")
     valid = valid_rows(own)
-    classes = valid.groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    # a class is known by two hashes, so that rows are joined to it without their vectors
+    key = [F.xxhash64("label", "vector").alias("k1"), F.xxhash64(F.lit(1), "vector", "label").alias("k2")]
+    classes = valid.select("*", *key).groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = classes.withColumn("grp", F.xxhash64("label", F.size("vector"))).withColumn("cid", F.monotonically_increasing_id())
     classes = materialise(classes, "emb-classes")
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.countDistinct("grp").alias("groups")).first()
@@ -176,11 +192,11 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, target: float = TAR
         roots = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")), "emb")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         classes = classes.join(links, classes["cid"] == links["node"], "left").drop("node").join(roots, F.col("cid") == roots["node"], "left")
-        classes = classes.select("label", "vector", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
+        classes = classes.select("k1", "k2", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("root"))
         classes = materialise(classes, "emb-rooted")
         least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-        classes = classes.join(least, "root").select(F.col("label").alias("c_label"), F.col("vector").alias("c_vector"), "n_links", "component_id")
-        valid = valid.join(classes, (valid["label"] == classes["c_label"]) & (valid["vector"] == classes["c_vector"]))
+        classes = classes.join(least, "root").select("k1", "k2", "n_links", "component_id")
+        valid = valid.select("vec_id", "label", *key).join(classes, ["k1", "k2"])
         valid = valid.select("vec_id", "label", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
     else:
         valid = valid.select("vec_id", "label", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

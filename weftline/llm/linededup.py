@@ -1,11 +1,11 @@
 """Line dedup by distinct-site spread.
 
 A line (trimmed of white space at its ends, not empty) is boilerplate if it stands on at
-least ``min_sites`` distinct sites, counted over distinct documents: a near-duplicate
-group (5-word shingles, similarity 0.8 or more; exact copies are one text to begin with)
-counts at one site, the least of its texts that hold the line. So a document that was
-copied to many sites keeps its text, and near-dedup decides about it, while a block of
-any length on many sites goes whole.
+least ``min_sites`` distinct sites, counted over distinct texts: a text counts at one
+site, the least of its copies. So a document that was copied to many sites keeps its
+text, and near-dedup decides about it, while a block of any length that stands in
+different texts on many sites goes whole. Copies that were edited are different texts:
+what they share on ``min_sites`` sites goes like any other line of such spread.
 
 1. Every distinct text counts at the least site of its copies. Lines of one site are put
    aside by a partial aggregate; the others get a HyperLogLog sketch of their sites per
@@ -14,8 +14,6 @@ any length on many sites goes whole.
 2. A line whose estimate lies within ``margin`` of the threshold gets the exact distinct
    count, taken for such lines alone; beyond that the estimate decides. ``margin`` is
    over six standard errors of the sketch.
-3. The groups among the texts that hold a line left by (2) are found by `neardup`, and
-   the sites of the line are counted once more, one for each group.
 
 The least site is that of the least number (60 bits of the md5 of the source).
 
@@ -35,7 +33,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
 from .common import materialise, prepare, table, texts_of
 
 MIN_SITES = 5
@@ -76,7 +73,8 @@ def scanned(docs: DataFrame) -> DataFrame:
 def spread(rows: DataFrame, min_sites: int, margin: float) -> DataFrame:
     """(line, n_sites) of the lines on at least ``min_sites`` distinct sites, from (line, site); n_sites is an estimate beyond the margin."""
     ends = rows.groupBy("line").agg(F.min("site").alias("s0"), F.max("site").alias("s1"))
-    wide = rows.join(ends.where((F.col("s0") != F.col("s1")) | F.lit(min_sites < 2)).select("line"), "line")
+    several = materialise(ends.where((F.col("s0") != F.col("s1")) | F.lit(min_sites < 2)).select("line"), "lines-several")
+    wide = rows.join(several, "line")
     estimated = wide.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("n_sites"))
     estimated = materialise(estimated.where(F.col("n_sites") >= min_sites * (1 - margin)), "lines-estimated")
     near = F.col("n_sites") <= min_sites * (1 + margin)
@@ -84,25 +82,18 @@ def spread(rows: DataFrame, min_sites: int, margin: float) -> DataFrame:
     return estimated.where(~near).select("line", F.col("n_sites").cast("long").alias("n_sites")).unionByName(exact.where(F.col("n_sites") >= min_sites))
 
 
-def boilerplate(docs: DataFrame, lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
-    """(line, n_sites) of the lines to remove; ``lines`` is `scanned` of ``docs``."""
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+    """(line, n_sites) of the lines to remove, from `scanned` documents."""
     # equal texts have equal lines: one row stands for all copies
-    texts = lines.where(F.size("lines") > 0).groupBy("_th").agg(F.min(F.struct("site", "lines")).alias("m")).select("_th", "m.site", "m.lines")
-    texts = materialise(texts, "lines-texts")
-    rows = texts.select("_th", "site", F.explode("lines").alias("line"))
-    wide = materialise(spread(rows.select("line", "site"), min_sites, margin), "lines-wide")
-    stands = materialise(rows.join(wide.select("line"), "line"), "lines-held")
-    held = docs.join(stands.select("_th").distinct(), F.xxhash64(docs["text"]) == F.col("_th"), "left_semi")
-    groups = neardup.components(held).select("_th", "root").distinct()
-    sites = stands.join(groups, "_th").groupBy("line", "root").agg(F.min("site").alias("site"))
-    counted = sites.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("n_sites"))
-    return materialise(counted.where(F.col("n_sites") >= min_sites), "lines-out")
+    texts = lines.where(F.size("lines") > 0).groupBy("_th").agg(F.min(F.struct("site", "lines")).alias("m")).select("m.site", "m.lines")
+    rows = materialise(texts, "lines-texts").select("site", F.explode("lines").alias("line"))
+    return materialise(spread(rows, min_sites, margin), "lines-out")
 
 
 def stripped(docs: DataFrame, **how) -> DataFrame:
     """``docs`` without boilerplate lines in ``text`` and with ``n_chars`` (if there) set anew; two more columns: _wl_lines, _wl_removed. No row is dropped."""
     lines = scanned(docs)
-    gone = boilerplate(docs, lines, **how).select("line")
+    gone = boilerplate(lines, **how).select("line")
     hit = lines.select("_id", "_th", F.explode("lines").alias("line")).join(gone, "line").groupBy("_id", "_th").agg(F.collect_set("line").alias("_wl_gone"))
     own = docs.withColumns({"_wl_id": F.col("doc_id"), "_wl_th": F.xxhash64("text")})
     joined = own.join(hit, own["_wl_id"].eqNullSafe(hit["_id"]) & (own["_wl_th"] == hit["_th"]), "left").select(*[own[c] for c in docs.columns], "_wl_gone")

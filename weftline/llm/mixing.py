@@ -48,24 +48,39 @@ def hex_number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _in_order(rows: DataFrame, tag: str, *keys: Column) -> DataFrame:
+    """``rows`` dealt into ranges of ``keys``, with the range's number as ``_part``; written, so that the ranges stay."""
+    return materialise(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), tag)
+
+
+def _ahead(ordered: DataFrame, value: Column) -> DataFrame:
+    """(_part, _ahead): the sum of ``value`` over the ranges before; one row a range."""
+    totals = ordered.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    return totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, n_docs, source_size, target) from (source, size) rows; one row a source, hot sources pre-aggregated."""
+    """(source, n_docs, source_size, target) from (source, size) rows; one row a source, hot sources pre-aggregated.
+
+    Sources may be many (hosts): both global orders, by name and by cap * size / weight,
+    are ranges with running sums inside and over the ranges' totals.
+    """
     own = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    # Windows over one row a source: the only global order, of as many rows as there are sources.
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weighed = own.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    ranked = (
-        weighed.withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-        .withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("stopped", F.coalesce(F.sum("limit").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        # with the sources before this one stopped, the level at which the rest would share what is left
-        .withColumn("level_here", (F.col("total") - F.col("stopped")) / F.col("rest"))
-        .withColumn("level", F.min(F.when(F.col("level_here") * F.col("weight") <= F.col("limit"), F.struct(F.col("stopped").alias("s"), F.col("level_here").alias("l")))).over(everything)["l"])
-    )
-    return ranked.select("source", "n_docs", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("weight")), "limit").alias("target"))
+    name = F.col("source").asc_nulls_last()
+    named = _in_order(own, "mix-names", name)
+    turn = (F.row_number().over(Window.partitionBy("_part").orderBy(name)) + F.col("_ahead") - 1) % len(weights)
+    weighed = named.join(_ahead(named, F.lit(1)), "_part").withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))).drop("_part", "_ahead")
+    limit, ratio = F.col("source_size") * F.lit(float(cap)), F.col("limit") / F.col("weight")
+    limited = _in_order(weighed.withColumn("limit", limit), "mix-limits", ratio, name)
+    whole = limited.agg((F.sum("source_size") * F.lit(float(share))).alias("total"), F.sum("weight").alias("all"))
+    inside = Window.partitionBy("_part").orderBy(ratio, name).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, tag: F.coalesce(F.sum(c).over(inside), F.lit(0.0)) + F.col(tag)
+    ranked = limited.join(_ahead(limited, F.col("limit")).withColumnRenamed("_ahead", "_limits"), "_part").join(_ahead(limited, F.col("weight")).withColumnRenamed("_ahead", "_weights"), "_part")
+    ranked = ranked.withColumn("stopped", before("limit", "_limits")).withColumn("passed", before("weight", "_weights")).join(F.broadcast(whole))  # one row
+    # with the sources before this one stopped, the level at which the rest would share what is left
+    ranked = ranked.withColumn("level_here", (F.col("total") - F.col("stopped")) / (F.col("all") - F.col("passed")))
+    level = ranked.where(F.col("level_here") * F.col("weight") <= F.col("limit")).agg(F.min(F.struct(F.col("stopped").alias("s"), F.col("level_here").alias("l")))["l"].alias("level"))
+    return limited.join(F.broadcast(level)).select("source", "n_docs", "source_size", F.coalesce(F.least("limit", F.col("level") * F.col("weight")), "limit").alias("target"))
 
 
 def copies_of(sizes: DataFrame, targets: DataFrame, seed: int = 0, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -104,10 +119,12 @@ def mixed(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE,
 
 def mix_documents(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The mixed corpus: every column of ``docs`` plus ``mix_copy`` (1, 2, …), one row per emitted copy."""
-    counted = mixed(docs, seed, weights, share, cap).where("copies > 0").groupBy(F.col("doc_id").alias("_wl_id"), F.col("tie").alias("_wl_tie")).agg(F.sum("copies").alias("_wl_n"), F.count("*").alias("_wl_rows"))
-    # rows equal in id and text share their copies evenly: each gets the whole quotient, and all of them lie within one
-    joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["_wl_id"]) & (tie_of(docs["text"]) == counted["_wl_tie"]))
-    turn = F.row_number().over(Window.partitionBy("_wl_id", "_wl_tie").orderBy(F.lit(0)))
+    key = [F.col("doc_id").alias("_wl_id"), F.col("source").alias("_wl_source"), F.col("tie").alias("_wl_tie")]
+    counted = mixed(docs, seed, weights, share, cap).where("copies > 0").groupBy(*key).agg(F.sum("copies").alias("_wl_n"), F.count("*").alias("_wl_rows"))
+    # rows equal in id, source and text share their copies evenly, in the order of a hash of all columns
+    joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["_wl_id"]) & docs["source"].cast("string").eqNullSafe(counted["_wl_source"]) & (tie_of(docs["text"]) == counted["_wl_tie"]))
+    hashed = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    turn = F.row_number().over(Window.partitionBy("_wl_id", "_wl_source", "_wl_tie").orderBy(F.xxhash64(*hashed)))
     joined = joined.withColumn("_wl_turn", turn)
     here = F.floor(F.col("_wl_n") * F.col("_wl_turn") / F.col("_wl_rows")) - F.floor(F.col("_wl_n") * (F.col("_wl_turn") - 1) / F.col("_wl_rows"))
     joined = joined.withColumn("_wl_copies", here.cast("int")).where("_wl_copies > 0")

@@ -7,7 +7,6 @@ from .decontam import WINDOW
 from .embeddings import COSINE
 from .linededup import MIN_SITES
 from .mixing import CAP, SHARE, SLICE_ROWS, WEIGHTS
-from .neardup import OVER, SHINGLE, UNDER
 from .suffixes import SPAN
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,14 +20,14 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED = r"[^\x20\x09-\x0D]+"
 
 DECONTAM = f"""
-WITH items AS (SELECT cast(item_id AS varchar) AS item, {words('text', ALNUM)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH items AS (SELECT cast(item_id AS varchar) AS item, {words('text', ALNUM)} AS w FROM benchmark),
 sized AS (SELECT item, w, least({WINDOW}, len(w)) AS n FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {words('text', ALNUM)} AS w FROM documents),
 spread AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM sized) WHERE len(w) >= n),
 hits AS (SELECT s.r, s.i, s.n, b.item FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS win FROM spread) s JOIN windows b ON s.n = b.n AND s.win = b.win),
 covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r),
 runs AS (SELECT r, min(i) - 1 AS a, max(i + n) - 1 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i, n ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, CASE WHEN i > coalesce(max(i + n) OVER (PARTITION BY r ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT r, i, n FROM hits))) GROUP BY r, g),
 texts AS (SELECT r, '[' || string_agg('{{"start":' || a || ',"end":' || b || '}}', ',' ORDER BY a) || ']' AS spans FROM runs GROUP BY r)
@@ -73,21 +72,11 @@ SELECT conv_id, n AS n_turns, text FROM (SELECT *, row_number() OVER (PARTITION
 
 TRIMMED = "trim(translate(x, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ')"
 LINES = f"""
-WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls, coalesce(('0x' || substr(md5(source), 1, 15))::bigint, -1) AS site FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls, coalesce(('0x' || substr(md5(source), 1, 15))::bigint, -1) AS site FROM documents),
 lines AS (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs),
 keyed AS (SELECT r, i, {TRIMMED.replace('x,', 'ls[i],')} AS line FROM lines),
-texts AS (SELECT min(r) AS t, text, min(site) AS site FROM docs WHERE text IS NOT NULL GROUP BY text),
-stands AS (SELECT DISTINCT t, site, line FROM texts JOIN keyed ON r = t WHERE line <> ''),
-wide AS (SELECT line FROM stands GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
-held AS (SELECT s.* FROM stands s JOIN wide USING (line)),
-worded AS (SELECT t, {words('text', SPACED)} AS w FROM texts WHERE t IN (SELECT t FROM held)),
-grams AS (SELECT DISTINCT t, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT t, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least({SHINGLE}, len(w)) AS k FROM worded WHERE len(w) > 0))),
-sizes AS (SELECT t, count(*) AS n FROM grams GROUP BY t),
-common AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.t <> b.t GROUP BY 1, 2),
-near AS (SELECT a, b FROM common JOIN sizes x ON x.t = a JOIN sizes y ON y.t = b WHERE c * {UNDER} >= {OVER} * (x.n + y.n - c)),
-reach AS (SELECT t AS a, t AS b FROM worded UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
-roots AS (SELECT a AS t, min(b) AS root FROM reach GROUP BY a),
-gone AS (SELECT line FROM (SELECT line, root, min(site) AS site FROM held JOIN roots USING (t) GROUP BY line, root) GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+texts AS (SELECT min(r) AS r, min(site) AS site FROM docs WHERE text IS NOT NULL GROUP BY text),
+gone AS (SELECT line FROM texts JOIN keyed USING (r) WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 hit AS (SELECT k.r, k.i FROM keyed k JOIN gone g ON k.line = g.line),
 kept AS (SELECT l.r, string_agg(l.ls[l.i], chr(10) ORDER BY l.i) FILTER (h.i IS NULL) AS text, count(h.i) AS n_removed FROM lines l LEFT JOIN hit h ON l.r = h.r AND l.i = h.i GROUP BY l.r)
 SELECT d.doc_id, coalesce(len(d.ls), 0)::int AS n_lines, coalesce(k.n_removed, 0)::int AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM docs d LEFT JOIN kept k ON d.r = k.r"""

@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, connected_components, keyed, materialise, table, texts_of, word_spans
@@ -135,7 +135,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 def linked(fps: DataFrame) -> DataFrame:
     """(src, dst) pairs of distinct fingerprints, src < dst, at 1 or 2 differing bits; from distinct (fp)."""
-    met = fps.select("fp").mapInArrow(_meetings, "anchor bigint, fp bigint, is_home boolean")
+    # dealt out by number, as a fingerprint becomes some 61 rows: what adaptive execution sees before that is small
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = fps.select("fp").repartition(parts, "fp").mapInArrow(_meetings, "anchor bigint, fp bigint, is_home boolean")
     homes = met.where("is_home").select("anchor", F.col("fp").alias("src"))
     guests = met.where("not is_home").select("anchor", F.col("fp").alias("dst"))
     close = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= THRESHOLD)
@@ -155,10 +157,12 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def least_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
-    """One document of each component in ``rooted`` (_id, _th, root): the one of least id (null ids last; of equal ids the least text hash, of equal rows any one), with all columns of ``docs``."""
+    """One document of each component in ``rooted`` (_id, _th, root): the one of least id (null ids last; of equal ids the least text hash, of rows equal in both the least hash of all columns), with all columns of ``docs``."""
     group = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("_id"), F.col("_th").alias("_th"))).alias("k")).select(F.col("k._id").alias("_wl_id"), F.col("k._th").alias("_wl_th"))
     kept = docs.join(group, docs["doc_id"].eqNullSafe(group["_wl_id"]) & (F.xxhash64(docs["text"]) == group["_wl_th"]))
-    return kept.dropDuplicates(["_wl_id", "_wl_th"]).select(*[docs[c] for c in docs.columns])
+    hashed = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    first = F.row_number().over(Window.partitionBy("_wl_id", "_wl_th").orderBy(F.xxhash64(*hashed)))
+    return kept.withColumn("_wl_first", first).where("_wl_first = 1").select(*[docs[c] for c in docs.columns])
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
