@@ -71,10 +71,13 @@ def test_unrelated_documents_without_an_id_of_their_own_stay(spark, no_documents
     assert sorted(r["text"] for r in simhash.one_of_each(docs).collect()) == sorted(t for _, t in texts)
 
 
-def test_components_settle_beyond_one_task(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "src long, dst long").repartition(3)
-    for limit in (0, 1000):
-        assert {r["node"]: r["root"] for r in common.connected_components(edges, "test", one_task=limit).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+def test_components_settle_over_many_tasks_and_small_forests(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)] + [(200, 201 + i) for i in range(40)], "src long, dst long").repartition(3)
+    expected = {i: 0 for i in range(61)} | {100: 100, 101: 100} | {200 + i: 200 for i in range(41)}
+    assert {r["node"]: r["root"] for r in common.connected_components(edges, "test").collect()} == expected
+    monkeypatch.setattr(common, "FOREST_EDGES", 5)  # flushed after every batch
+    batches = [common.pa.RecordBatch.from_arrays([common.pa.array([1, 2, 3, 4, 5]), common.pa.array([2, 3, 4, 5, 6])], ["a", "b"])] * 2
+    assert [b.num_rows for b in common._forest(iter(batches))] == [5, 5]
 
 
 def test_winnowing_keeps_a_gram_of_every_window():
@@ -95,13 +98,13 @@ def test_word_hashes_do_not_depend_on_place(monkeypatch):
 
 def test_decontamination(spark, documents, no_documents):
     item = " ".join(f"w{i % 97}x{i % 13}" for i in range(20, 45))
-    bench = spark.createDataFrame([(1, item), (2, "Two, words"), (3, None), (4, ""), (10, item), (5, "never seen here at all")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Two, words"), (3, None), (4, ""), (10, item), (5, "never seen here at all"), (None, "alone and without an id"), (None, item)], "item_id long, text string")
     windows = {}
     for i, t in [(r["item_id"], r["text"]) for r in bench.collect()]:
         w = alnum(t)
         n = min(10, len(w))
         for at in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[at : at + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[at : at + n]), set()).update([str(i)] if i is not None else [])
     for r in decontam.decontaminated(documents, bench).join(documents, (documents["doc_id"].eqNullSafe(common.F.col("_id")))).select("_id", "n_words", "n_hit", "items", "text").collect():
         w = alnum(r["text"])
         hit, items = set(), set()
@@ -112,7 +115,7 @@ def test_decontamination(spark, documents, no_documents):
                     items |= windows[tuple(w[at : at + n])]
         assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(items)), r["_id"]
     clean = decontam.clean_documents(documents, bench)
-    assert clean.columns == documents.columns and {r["doc_id"] for r in clean.collect()} == {4, 5, 7, None}
+    assert clean.columns == documents.columns and {r["doc_id"] for r in clean.collect()} == {4, 5, 7}
     assert decontam.decontaminated(no_documents, bench).count() == 0
     assert decontam.clean_documents(documents, bench.limit(0)).count() == 10
 
@@ -130,6 +133,11 @@ def test_mixing(documents, no_documents):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mixed(documents).collect()), key=str)
     out = mixing.mix_documents(documents)
     assert out.columns == [*documents.columns, "mix_copy"] and out.count() == sum(r["copies"] for r in rows)
+    # rows equal in id and text but of different sources take the copies of their own source
+    mixed_up = documents.sparkSession.createDataFrame([(1, "a b c", "en", s, n, "x") for s in ("a", "b", "c") for n in range(4)], documents.schema)
+    copies = {r["source"]: r["n"] for r in mixing.mixed(mixed_up).groupBy("source").agg(common.F.sum("copies").alias("n")).collect()}
+    twice = [sorted((r["source"], r["n_chars"], r["mix_copy"]) for r in mixing.mix_documents(mixed_up.repartition(n)).collect()) for n in (1, 3)]
+    assert twice[0] == twice[1] and {s: sum(r[0] == s for r in twice[0]) for s in copies} == copies
     assert mixing.mixed(no_documents).count() == 0 and mixing.mix_documents(no_documents).count() == 0
 
 
@@ -156,6 +164,34 @@ def test_repeated_spans(documents, no_documents):
     assert suffixes.repeated_spans(no_documents).count() == 0
 
 
+def test_multi_sequence_traversal_meets_the_nearest_cells():
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(400, 12))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    grid = embeddings.Grid(unit, np.zeros(400), 9, 0.9, 0.99)
+    grid.visits = 17
+    home, seen = grid.cells(unit)
+    far = grid._far(unit)
+    sums = (far[0][:, :, None] + far[1][:, None, :]).reshape(400, -1)
+    assert (home == sums.argmin(axis=1)).all()
+    assert np.allclose(np.sort(np.take_along_axis(sums, seen, 1), axis=1), np.sort(sums, axis=1)[:, :17])
+
+
+def test_embedding_recall(spark):
+    """Linked pairs of 4,000 vectors with neighbours on both sides of the threshold, against all pairs; 0.9 is what an index has to reach."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(800, 64))
+    vectors = np.concatenate([centres + spread * rng.normal(size=centres.shape) for spread in (0, 0.2, 0.25, 0.3, 0.4)])
+    label = np.tile(np.arange(800) % 3, 5)
+    rows = [(i, v.tolist(), int(x)) for i, (v, x) in enumerate(zip(vectors, label, strict=True))]
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    expected = close.sum(axis=1) - 1
+    assert 1000 < expected.sum() < 16_000
+    assert 0.9 <= sum(found.values()) / expected.sum() <= 1.0 and all(found[i] <= n for i, n in enumerate(expected))
+
+
 def brute_links(rows, cosine):
     ok = []
     for k, (v, e, label) in enumerate(rows):
@@ -275,6 +311,12 @@ def test_toxicity_learns(spark):
     assert {r["score"] for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
+def test_long_tokens_train_and_score_by_pieces():
+    token = "x" * 30 + "idiot" + "y" * 30
+    assert "".join(toxicity.pieces("abc")) == "abc" and all(len(p) <= toxicity.LONGEST for p in toxicity.pieces(token))
+    assert any("idiot" in p for p in toxicity.pieces(token)) and toxicity.pieces(token)[-1].endswith("y")
+
+
 def test_chat_collapse(spark):
     turn = lambda c, *texts: [(c, n, "user" if n % 2 == 0 else "assistant", t, "x") for n, t in enumerate(texts)]
     rows = turn(1, "hi", "hello") + turn(2, "hi", "hello", "how are you") + turn(3, "hi", "hello", "how are you") + turn(4, "hi", "other") + [(5, 0, None, None, "x"), (None, 0, "user", "lost", "x")]

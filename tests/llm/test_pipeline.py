@@ -6,7 +6,9 @@ import compare
 import pytest
 
 import corpus_pipeline
-from weftline.llm import common, decontam, entry, linededup, mixing, simhash, toxicity
+from test_neardup import grams
+from test_operators import alnum, brute_kept_lines
+from weftline.llm import common, entry, mixing, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -27,26 +29,15 @@ def test_pipeline_equals_plain_version(spark):
     model = toxicity.fit(docs, common.table(spark, SMALL, "labels"))
     rows = [r.asDict() for r in docs.collect()]
     rows = [r for r, s in zip(rows, model.scores([r["text"] for r in rows], {}), strict=True) if s < 0.5]
-    sites, places = {}, {}
-    trim = lambda x: x.translate(str.maketrans("\t\r\x0b\x0c", "    ")).strip(" ")
-    for r in rows:
-        lines = [trim(x) for x in r["text"].split("\n")]
-        for i, x in enumerate(lines):
-            if x:
-                sites.setdefault(x, set()).add(r["source"])
-                places.setdefault(x, set()).add((lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else ""))
-    gone = {x for x in sites if len(sites[x]) >= linededup.MIN_SITES and len(places[x]) >= linededup.MIN_PLACES}
-    for r in rows:
-        r["text"] = "\n".join(x for x in r["text"].split("\n") if trim(x) not in gone)
-    import numpy as np
-
-    fps = [simhash.fingerprint(np.frombuffer(r["text"].encode(), np.uint8)) & (1 << 64) - 1 for r in rows]
+    kept = brute_kept_lines([(r["doc_id"], r["text"], r["source"]) for r in rows])
+    rows = [r | {"text": text} for r, text in zip(rows, kept, strict=True)]
+    sets = [grams(r["text"]) for r in rows]
     group = list(range(len(rows)))
     while True:
         before = list(group)
         for a in range(len(rows)):
             for b in range(a):
-                if (fps[a] ^ fps[b]).bit_count() <= 2:
+                if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     group[a] = group[b] = min(group[a], group[b])
         if group == before:
             break
@@ -54,15 +45,14 @@ def test_pipeline_equals_plain_version(spark):
     for g, r in zip(group, rows, strict=True):
         first[g] = min(first.get(g, r["doc_id"]), r["doc_id"])
     rows = [r for g, r in zip(group, rows, strict=True) if r["doc_id"] == first[g]]
-    words = lambda t: common.hash_words(np.frombuffer(t.encode(), np.uint8), common.ALNUM).tolist()
     windows = {}
     for item in common.table(spark, SMALL, "benchmark").collect():
-        w = words(item["text"])
-        n = min(decontam.WINDOW, len(w))
-        for i in range(len(w) - n + 1):
+        w = alnum(item["text"])
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
             windows.setdefault(n, set()).add(tuple(w[i : i + n]))
     leaked = lambda w: any(tuple(w[i : i + n]) in s for n, s in windows.items() for i in range(len(w) - n + 1))
-    rows = [r for r in rows if not leaked(words(r["text"]))]
+    rows = [r for r in rows if not leaked(alnum(r["text"]))]
     plain = spark.createDataFrame([tuple(r.values()) for r in rows], docs.schema)
     expected = Counter({r["doc_id"]: r["copies"] for r in mixing.mixed(plain).collect() if r["copies"]})
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SMALL).select("doc_id").collect()) == expected

@@ -120,7 +120,7 @@ def mixed(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE,
 def mix_documents(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The mixed corpus: every column of ``docs`` plus ``mix_copy`` (1, 2, …), one row per emitted copy."""
     key = [F.col("doc_id").alias("_wl_id"), F.col("source").alias("_wl_source"), F.col("tie").alias("_wl_tie")]
-    counted = mixed(docs, seed, weights, share, cap).where("copies > 0").groupBy(*key).agg(F.sum("copies").alias("_wl_n"), F.count("*").alias("_wl_rows"))
+    counted = mixed(docs, seed, weights, share, cap).groupBy(*key).agg(F.sum("copies").alias("_wl_n"), F.count("*").alias("_wl_rows")).where("_wl_n > 0")
     # rows equal in id, source and text share their copies evenly, in the order of a hash of all columns
     joined = docs.join(counted, docs["doc_id"].eqNullSafe(counted["_wl_id"]) & docs["source"].cast("string").eqNullSafe(counted["_wl_source"]) & (tie_of(docs["text"]) == counted["_wl_tie"]))
     hashed = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]

@@ -16,8 +16,15 @@ out. Negatives are tokens of clean texts, with rounds of hard negatives. A logis
 curve over the largest margin and the numbers of tokens over some margins gives the
 text's score.
 
-Fit on at most ``max_toxic`` and ``max_clean`` labelled texts (by hash order), a
-documented parameter; whole texts, every row is scored. Only label rows whose
+Labels are of texts, and the machine is trained on their tokens, not on sentences as
+bags: insults are single words here, and a bag's kernel is dominated by its other words.
+
+The fit is bounded by documented parameters: at most ``max_toxic`` and ``max_clean``
+labelled texts (by hash order), and of their tokens at most ``max_insults`` positive
+ones (those of most contexts), ``max_words`` + ``max_common`` negative ones (by hash,
+and the most frequent) and ``max_hard`` hard negatives a round. Texts are read whole, in
+the fit as in scoring; a token of over 24 characters is read as overlapping pieces in
+both. Every row is scored. Only label rows whose
 crc32(doc_id as text) mod 5 is not 0 are used.
 
 Nulls: null or empty texts have no token and get the score of no insult. Null labels,
@@ -42,6 +49,7 @@ LAMBDA = 0.7
 SYMBOLS = 64
 LONGEST, STRIDE = 24, 12
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_INSULTS, MAX_WORDS, MAX_COMMON, MAX_HARD = 3000, 8000, 2000, 4000
 LANDMARKS = 160
 FOLDS = 5
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—"
@@ -107,9 +115,15 @@ def self_kernels(x: np.ndarray) -> np.ndarray:
     return total
 
 
+def pieces(token: str) -> list[str]:
+    """The token, or its overlapping pieces if it is longer than LONGEST."""
+    n = len(token)
+    return [token] if n <= LONGEST else [token[s : s + LONGEST] for s in range(0, n - LONGEST + STRIDE, STRIDE)]
+
+
 def explicit(token: str) -> tuple[np.ndarray, np.ndarray]:
-    """The normalised feature vector of a token: (triple numbers, values)."""
-    x = codes_of(token)[:LONGEST]
+    """The normalised feature vector of a token of at most LONGEST characters (see `pieces`): (triple numbers, values)."""
+    x = codes_of(token)
     if len(x) < 3:
         return np.zeros(0, np.int64), np.zeros(0)
     i, j, k, w = _triples(len(x))
@@ -126,10 +140,10 @@ def margins(tokens: list[str], beta: np.ndarray, bias: float) -> np.ndarray:
     for at, token in enumerate(tokens):
         n = len(token)
         if n > LONGEST:
-            for s in range(0, n - LONGEST + STRIDE, STRIDE):
-                rows = by_length.setdefault(min(LONGEST, n - s), ([], []))
+            for piece in pieces(token):
+                rows = by_length.setdefault(len(piece), ([], []))
                 rows[0].append(at)
-                rows[1].append(token[s : s + LONGEST])
+                rows[1].append(piece)
         elif n >= 3:
             rows = by_length.setdefault(n, ([], []))
             rows[0].append(at)
@@ -257,16 +271,16 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, context, toxic): every token of a text with its neighbours, once."""
+    """(token, context, toxic): every token of a text (the pieces of a long one) with its neighbours, once."""
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             found = [t.strip(PUNCTUATION) for t in tokens_of(text)]
-            rows = list({(t, f"{a} {b}") for a, t, b in zip(["", *found], found, [*found[1:], ""], strict=False) if 3 <= len(t) <= 64})
+            rows = list({(p, f"{a} {b}") for a, t, b in zip(["", *found], found, [*found[1:], ""], strict=False) for p in pieces(t) if len(p) >= 3})
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([toxic] * len(rows), pa.int32())], ["token", "context", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, landmarks: int = LANDMARKS) -> Model | None:
-    """The model, or None where a class has no training text. The driver gets at most about 40,000 tokens and two numbers a sampled text."""
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, landmarks: int = LANDMARKS, max_insults: int = MAX_INSULTS, max_words: int = MAX_WORDS, max_common: int = MAX_COMMON, max_hard: int = MAX_HARD) -> Model | None:
+    """The model, or None where a class has no training text. The driver gets at most the tokens that the parameters allow, of 24 characters each, and a few numbers a sampled text."""
     sample = training_texts(docs, labels, max_toxic, max_clean)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -275,10 +289,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     per_token = rows.groupBy("token", F.xxhash64("context").alias("c")).agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("clean"))
     vocabulary = materialise(per_token.groupBy("token").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("clean")).alias("n")), "toxic-words")
     ratio = (F.col("p") / sizes[1]) / ((F.col("n") + 0.5) / sizes[0])
-    found = vocabulary.where("p >= 4").where(ratio >= 8).orderBy(F.col("p").desc(), "token").limit(3000).toPandas()
+    found = vocabulary.where("p >= 4").where(ratio >= 8).orderBy(F.col("p").desc(), "token").limit(max_insults).toPandas()
     clean = vocabulary.where("n >= 1").where(ratio < 4)
-    negatives = [r["token"] for r in clean.orderBy(F.xxhash64("token"), "token").limit(8000).collect()]
-    negatives += [r["token"] for r in clean.orderBy(F.col("n").desc(), "token").limit(2000).collect()]
+    negatives = [r["token"] for r in clean.orderBy(F.xxhash64("token"), "token").limit(max_words).collect()]
+    negatives += [r["token"] for r in clean.orderBy(F.col("n").desc(), "token").limit(max_common).collect()]
     positives, weights = found["token"].tolist(), np.sqrt(found["p"].to_numpy(float))
     if not positives or not negatives:
         return None
@@ -291,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
                 tokens = batch.column("token").to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(margins(tokens, beta, bias))], ["token", "margin"])
 
-        hard = clean.select("token").mapInArrow(hardest, "token string, margin double").where("margin > -0.7").orderBy(F.col("margin").desc(), "token").limit(4000)
+        hard = clean.select("token").mapInArrow(hardest, "token string, margin double").where("margin > -0.7").orderBy(F.col("margin").desc(), "token").limit(max_hard)
         negatives = list(dict.fromkeys([*negatives, *(r["token"] for r in hard.collect())]))
         model = _fit_machine(positives, weights, negatives, landmarks)
 
