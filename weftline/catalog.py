@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, features, fusion, graphs, matching, metrics, policies, population, retrieval, sampling, vectors  # noqa: F401  each declares its relations
+from .operators import audit, features, fusion, graphs, matching, metrics, nearest, policies, population, retrieval, sampling, vectors, vocabulary  # noqa: F401  each declares its relations
+from .plans.frames import FRAMES
 from .plans.graph import GRAPH
 from .plans.params import SMALL_FEED, Params
 from .sources import canonical
@@ -28,6 +29,8 @@ def run(name: str, params: Params = SMALL_FEED):
 
 QUERIES = {name: run(name) for name in GRAPH.queries}
 ORACLES = {name: GRAPH.oracle(name, SMALL_FEED) for name in GRAPH.queries}
+QUERIES |= {name: FRAMES.run(name, SMALL_FEED, canonical.register) for name in FRAMES.built}
+ORACLES |= {name: FRAMES.oracle(name, SMALL_FEED) for name in FRAMES.built}
 
 
 def weekly_event_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -97,6 +97,15 @@ class Graph:
             self._stages[key] = materialise(df, name)
         return self._stages[key]
 
+    def over(self, select: str, d: Spark, p) -> str:
+        """A statement over relations, with all that it needs in front."""
+        asked = [x for x in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)\b", select)) if x in self.relations]
+        names: list[str] = []
+        for x in asked:
+            names += [y for y in self.needs(x, d, p) if y not in names]
+        body = "".join(f"{x} AS (\n{self.relations[x](d, p).strip()}\n),\n" for x in names)
+        return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.])", r"\1e0", f"WITH RECURSIVE {body}the_result AS (\n{select.strip()}\n)\nSELECT * FROM the_result")
+
     def oracle(self, name: str, p) -> str:
         return self.sql(name, DUCK, p)
 
