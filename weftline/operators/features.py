@@ -54,14 +54,14 @@ DIMENSIONS = ("article_id", "product_code", "product_type", "garment_group", "de
 @G.relation
 def affinity_long(d, p):
     """Decayed user affinity for every value of the item and its six attributes, one aggregation over the exploded dimensions."""
-    parts = " UNION ALL ".join(f"SELECT customer_id, '{x}' AS dimension, {d.text(x)} AS value, t_dat FROM typed_recent" for x in DIMENSIONS)
+    parts = d.stacked("customer_id, t_dat", DIMENSIONS, "typed_recent")
     return f"SELECT customer_id, dimension, value, {within(d, p, 28)} AS e28, count(*) AS events, {age(d, p, 'max(t_dat)')} AS recency, round(sum(exp(-ln(2) * {age(d, p, 't_dat')} / 28.0)), 6) AS decayed FROM ({parts}) x GROUP BY customer_id, dimension, value"
 
 
 @G.query
 def target_affinity_decay(d, p):
     """Affinity of the user for the candidate and its attributes, long by dimension."""
-    keys = " UNION ALL ".join(f"SELECT f.customer_id, f.article_id, '{x}' AS dimension, {d.text('a.' + x)} AS value FROM rrf_fused_topk f JOIN articles a ON f.article_id = a.article_id" for x in DIMENSIONS)
+    keys = d.stacked("customer_id, article_id", DIMENSIONS, "(SELECT f.customer_id, a.* FROM rrf_fused_topk f JOIN articles a ON f.article_id = a.article_id) k")
     return f"SELECT k.customer_id, k.article_id, k.dimension, l.e28, l.events, l.recency, l.decayed FROM ({keys}) k JOIN affinity_long l ON k.customer_id = l.customer_id AND k.dimension = l.dimension AND k.value = l.value"
 
 

@@ -68,7 +68,7 @@ def concentration(d, p):
 
 @G.query
 def popularity_rank_correlation(d, p):
-    """Overlap and Spearman correlation of the 50 best sellers of two half-windows."""
+    """Overlap and Spearman correlation of the 200 best sellers of two half-windows."""
     c, h = d.date(p.cutoff), p.history_days // 2
     top = lambda where: f"SELECT article_id, cast(row_number() OVER (ORDER BY n DESC, article_id) as double) AS rk FROM (SELECT article_id, count(*) AS n FROM recent WHERE {where} GROUP BY article_id ORDER BY n DESC, article_id LIMIT 200) x"
     return f"SELECT count(*) AS both, round(coalesce(corr(a.rk, b.rk), 0), 6) AS spearman FROM ({top(f't_dat >= {d.shift(c, -h)}')}) a JOIN ({top(f't_dat < {d.shift(c, -h)}')}) b ON a.article_id = b.article_id"
@@ -98,7 +98,7 @@ def warm_proxies(d, p):
     """The nearest warm items of every hidden item of a type, the same type first."""
     cosine = f"round({d.dot('a.vector', 'b.vector')} / (sqrt({d.dot('a.vector', 'a.vector')}) * sqrt({d.dot('b.vector', 'b.vector')})), 6)"
     return f"""SELECT article_id, proxy, same_type, cosine FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY same_type DESC, cosine DESC, proxy) AS rn FROM (SELECT c.article_id, b.article_id AS proxy, CASE WHEN c.product_type = x.product_type THEN 1 ELSE 0 END AS same_type, {cosine} AS cosine
-FROM cold_items c JOIN item_vectors a ON c.article_id = a.article_id JOIN warm_catalogue w ON true JOIN item_vectors b ON w.article_id = b.article_id AND b.article_id <> c.article_id JOIN articles x ON b.article_id = x.article_id WHERE w.article_id % 20 <> 0) z) y WHERE rn <= 3""".replace("JOIN warm_catalogue w ON true JOIN item_vectors b ON w.article_id = b.article_id AND b.article_id <> c.article_id", "JOIN item_vectors b ON b.article_id <> c.article_id JOIN warm_catalogue w ON w.article_id = b.article_id")
+FROM cold_items c JOIN item_vectors a ON c.article_id = a.article_id JOIN warm_catalogue w ON true JOIN item_vectors b ON w.article_id = b.article_id AND b.article_id <> c.article_id JOIN articles x ON b.article_id = x.article_id) z) y WHERE rn <= 3""".replace("JOIN warm_catalogue w ON true JOIN item_vectors b ON w.article_id = b.article_id AND b.article_id <> c.article_id", "JOIN item_vectors b ON b.article_id <> c.article_id JOIN warm_catalogue w ON w.article_id = b.article_id")
 
 
 @G.query
@@ -109,5 +109,5 @@ def neighbour_graph_overlap(d, p):
 
 @G.query
 def half_life_sensitivity(d, p):
-    """Mean rank shift of seed scores between two half-lives."""
-    return "SELECT customer_id, round(avg(cast(abs(a - b) as double)), 6) AS shift FROM (SELECT customer_id, rank() OVER (PARTITION BY customer_id ORDER BY round(pow(0.5, age_days / 14.0) * (1 + article_id % 7), 8) DESC) AS a, rank() OVER (PARTITION BY customer_id ORDER BY round(pow(0.5, age_days / 56.0) * (1 + article_id % 7), 8) DESC) AS b FROM user_seeds) x GROUP BY customer_id"
+    """Mean rank shift of the seeds' scores (decayed log sales) between two half-lives."""
+    return "SELECT customer_id, round(avg(cast(abs(a - b) as double)), 6) AS shift FROM (SELECT customer_id, rank() OVER (PARTITION BY customer_id ORDER BY round(pow(0.5, age_days / 14.0) * ln(1 + events), 8) DESC) AS a, rank() OVER (PARTITION BY customer_id ORDER BY round(pow(0.5, age_days / 56.0) * ln(1 + events), 8) DESC) AS b FROM (SELECT s.customer_id, s.age_days, i.events FROM user_seeds s JOIN item_stats i ON s.article_id = i.article_id) k) x GROUP BY customer_id"

@@ -119,8 +119,11 @@ def reliability(d, p):
 
 @G.query
 def calibration_error(d, p):
-    """Expected calibration error and Brier score of the scores scaled to one."""
-    return "SELECT round(sum(abs(mean_score / 2 - rate) * n) / sum(n), 6) AS ece, cast(sum(n) as bigint) AS n FROM reliability"
+    """Expected calibration error over score deciles, Brier score and log loss, the score (at most 1) read as a probability."""
+    prob = "least(score_a, 1.0)"
+    safe = f"least(greatest({prob}, 0.000001), 0.999999)"
+    return f"""SELECT round(sum(abs(mean_p - rate) * n) / sum(n), 6) AS ece, round(sum(brier) / sum(n), 6) AS brier, round(sum(loss) / sum(n), 6) AS log_loss, cast(sum(n) as bigint) AS n FROM (
+SELECT bin, count(*) AS n, avg({prob}) AS mean_p, avg(cast(target as double)) AS rate, sum(({prob} - target) * ({prob} - target)) AS brier, -sum(CASE WHEN target = 1 THEN ln({safe}) ELSE ln(1 - {safe}) END) AS loss FROM (SELECT score_a, target, ntile(10) OVER (ORDER BY score_a, customer_id, article_id) AS bin FROM scored) x GROUP BY bin) y"""
 
 
 @G.query
@@ -129,12 +132,18 @@ def low_frequency_recall(d, p):
     return "SELECT i.temperature, count(*) AS pairs, count(CASE WHEN c.source_rank <= 5 THEN 1 END) AS at_5 FROM src_cold_content c JOIN item_temperature i ON c.article_id = i.article_id JOIN truth t ON c.customer_id = t.customer_id AND c.article_id = t.article_id GROUP BY i.temperature"
 
 
+@G.relation
+def paired_effects(d, p):
+    """Average precision of every user with truth before and after the swaps."""
+    return f"SELECT b.customer_id, b.ap AS before, a.ap AS after FROM ap_table b JOIN ({per_user('swapped_slate', 'final_rank', p.metric_k)}) a ON b.customer_id = a.customer_id"
+
+
 @G.query
 def bootstrap_interval(d, p):
-    """Paired bootstrap of the swap effect: 200 replicates with stable integer weights of the users."""
-    weight = f"CASE WHEN u < 0.3678794 THEN 0 WHEN u < 0.7357589 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.9810118 THEN 3 ELSE 4 END"  # noqa: F541
-    return f"""SELECT {d.quantile('m', 0.025)} AS low, {d.quantile('m', 0.5)} AS middle, {d.quantile('m', 0.975)} AS high, count(*) AS replicates FROM (SELECT k, round(sum(w * ap) / sum(w), 8) AS m FROM (
-SELECT k, ap, {weight} AS w FROM (SELECT b.k, a.ap, {d.number(f"md5(concat({d.text('a.customer_id')}, '-', {d.text('b.k')}))")} / 4294967296.0 AS u FROM ap_table a CROSS JOIN ({d.numbers(200, 'k')}) b) x) y GROUP BY k) z"""
+    """Paired bootstrap of the swap effect over all users: 200 replicates with stable integer weights of the users, the same for both slates."""
+    weight = "CASE WHEN u < 0.3678794 THEN 0 WHEN u < 0.7357589 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.9810118 THEN 3 ELSE 4 END"
+    return f"""SELECT {d.quantile('m', 0.025)} AS low, {d.quantile('m', 0.5)} AS middle, {d.quantile('m', 0.975)} AS high, count(*) AS replicates, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive FROM (SELECT k, round(sum(w * (after - before)) / sum(w), 8) AS m FROM (
+SELECT k, before, after, {weight} AS w FROM (SELECT b.k, a.before, a.after, {d.number(f"md5(concat({d.text('a.customer_id')}, '-', {d.text('b.k')}))")} / 4294967296.0 AS u FROM paired_effects a CROSS JOIN ({d.numbers(200, 'k')}) b) x) y GROUP BY k) z"""
 
 
 @G.query

@@ -219,18 +219,29 @@ def typed_popular(d, p):
     return f"SELECT * FROM (SELECT q.article_id, a.product_type, q.popularity, q.events, row_number() OVER (PARTITION BY a.product_type ORDER BY q.popularity DESC, q.article_id) AS tr FROM popularity q JOIN articles a ON q.article_id = a.article_id) x WHERE tr <= 30"
 
 
-@G.query
-def src_cold_season(d, p):
-    """Hidden items (a fixed twentieth of the catalogue) by shrunken seasonal lifts of their attributes, for every user's types and globally."""
+@G.relation
+def cold_lifts(d, p):
+    """Cold items with the shrunken seasonal lifts of their attributes, summed."""
     c = d.date(p.cutoff)
     lift = lambda f, shrink: f"""SELECT {f}, e28, greatest(ln((e28 + 1.0) / 28 / ((e84 + 1.0) / 84)), 0) * e28 / (e28 + {shrink}.0) AS part FROM (SELECT a.{f}, count(CASE WHEN h.t_dat >= {d.shift(c, -28)} THEN 1 END) AS e28, count(*) AS e84 FROM history h JOIN articles a ON h.article_id = a.article_id WHERE h.t_dat >= {d.shift(c, -84)} GROUP BY a.{f}) s"""
-    return f"""SELECT u.customer_id, k.article_id, k.source_rank, k.score AS source_score FROM users u CROSS JOIN (SELECT article_id, score, cast(row_number() OVER (ORDER BY score DESC, article_id) as bigint) AS source_rank FROM (
-SELECT a.article_id, round(coalesce(t.part, 0) + coalesce(g.part, 0) + coalesce(co.part, 0), 8) AS score FROM cold_items a LEFT JOIN ({lift('product_type', 50)}) t ON a.product_type = t.product_type LEFT JOIN ({lift('garment_group', 30)}) g ON a.garment_group = g.garment_group LEFT JOIN ({lift('colour', 30)}) co ON a.colour = co.colour) x) k WHERE k.source_rank <= {p.global_k}"""
+    return f"""SELECT a.article_id, a.product_type, round(coalesce(t.part, 0) + coalesce(g.part, 0) + coalesce(co.part, 0), 8) AS score FROM cold_items a LEFT JOIN ({lift('product_type', 50)}) t ON a.product_type = t.product_type LEFT JOIN ({lift('garment_group', 30)}) g ON a.garment_group = g.garment_group LEFT JOIN ({lift('colour', 30)}) co ON a.colour = co.colour"""
+
+
+@G.query
+def src_cold_season(d, p):
+    """Cold items in two lanes fused by reciprocal ranks: the global order of their seasonal lifts, and that of each user's types by share times lift."""
+    return f"""SELECT customer_id, article_id, source_rank, score AS source_score FROM (SELECT customer_id, article_id, score, cast(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) as bigint) AS source_rank FROM (
+SELECT customer_id, article_id, round(sum(1.0 / ({p.rrf} + lane_rank)), 8) AS score FROM (
+SELECT u.customer_id, k.article_id, k.lane_rank FROM users u CROSS JOIN (SELECT article_id, cast(row_number() OVER (ORDER BY score DESC, article_id) as bigint) AS lane_rank FROM (SELECT * FROM cold_lifts ORDER BY score DESC, article_id LIMIT {p.global_k}) f) k
+UNION ALL SELECT customer_id, article_id, lane_rank FROM (SELECT s.customer_id, x.article_id, cast(row_number() OVER (PARTITION BY s.customer_id ORDER BY round(s.share * (x.score + 0.01), 8) DESC, x.article_id) as bigint) AS lane_rank
+FROM (SELECT r.customer_id, r.product_type, cast(count(*) as double) / sum(count(*)) OVER (PARTITION BY r.customer_id) AS share FROM typed_recent r JOIN users u ON r.customer_id = u.customer_id GROUP BY r.customer_id, r.product_type) s JOIN cold_lifts x ON s.product_type = x.product_type) l WHERE lane_rank <= {p.global_k}
+) lanes GROUP BY customer_id, article_id) z) w WHERE source_rank <= {p.global_k}"""
 
 
 @G.relation
 def cold_items(d, p):
-    return "SELECT * FROM articles WHERE article_id % 20 = 0"
+    """Articles never sold before the cutoff."""
+    return "SELECT a.* FROM articles a LEFT JOIN warm_catalogue w ON a.article_id = w.article_id WHERE w.article_id IS NULL"
 
 
 @G.query
@@ -279,14 +290,26 @@ def user_profiles(d, p):
     return f"SELECT customer_id, article_id, sum(pow(0.5, {d.days('t_dat', d.date(p.cutoff))} / 28.0)) AS w FROM recent GROUP BY customer_id, article_id"
 
 
+@G.relation
+def user_postings(d, p):
+    """Each item's buyers, the most recent first."""
+    return f"SELECT * FROM (SELECT customer_id, article_id, row_number() OVER (PARTITION BY article_id ORDER BY recency, customer_id) AS posting FROM pair_stats) x WHERE posting <= {p.postings}"
+
+
+@G.relation
+def user_pool(d, p):
+    """The other users that each user's items lead to: a budget of postings shared evenly among the items, the most recent buyers first."""
+    return f"""SELECT DISTINCT a.customer_id, b.customer_id AS other FROM (SELECT s.customer_id, s.article_id, floor({p.postings} / cast(count(*) OVER (PARTITION BY s.customer_id) as double)) AS quota FROM pair_stats s JOIN users u ON s.customer_id = u.customer_id) a
+JOIN user_postings b ON a.article_id = b.article_id WHERE a.customer_id <> b.customer_id AND b.posting <= a.quota"""
+
+
 @G.query
 def src_user_knn(d, p):
-    """Items of the most similar users; each item's posting list is cut to its most recent buyers, so no item makes all pairs."""
+    """Items of the hundred most similar users of each user's pool, by the cosine of whole profiles."""
     return ranked(f"""SELECT n.customer_id, q.article_id, round(sum(n.similarity * q.w / t.l1) / max(n.total), 8) AS score FROM (
 SELECT customer_id, other, similarity, sum(similarity) OVER (PARTITION BY customer_id) AS total FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY similarity DESC, other) AS rn FROM (
-SELECT a.customer_id, b.customer_id AS other, round(sum(a.w * b.w) / (max(na.norm) * max(nb.norm)), 8) AS similarity FROM user_profiles a JOIN users u ON a.customer_id = u.customer_id
-JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY w DESC, customer_id) AS posting FROM user_profiles) y WHERE posting <= 50) b ON a.article_id = b.article_id AND a.customer_id <> b.customer_id
-JOIN profile_norms na ON a.customer_id = na.customer_id JOIN profile_norms nb ON b.customer_id = nb.customer_id GROUP BY a.customer_id, b.customer_id) x WHERE similarity > 0) z WHERE rn <= 100) n
+SELECT k.customer_id, k.other, round(sum(a.w * b.w) / (max(na.norm) * max(nb.norm)), 8) AS similarity FROM user_pool k JOIN user_profiles a ON k.customer_id = a.customer_id JOIN user_profiles b ON k.other = b.customer_id AND a.article_id = b.article_id
+JOIN profile_norms na ON k.customer_id = na.customer_id JOIN profile_norms nb ON k.other = nb.customer_id GROUP BY k.customer_id, k.other) x WHERE similarity > 0) z WHERE rn <= 100) n
 JOIN user_profiles q ON n.other = q.customer_id JOIN profile_norms t ON n.other = t.customer_id GROUP BY n.customer_id, q.article_id""", p.source_k, "score DESC, article_id")
 
 
@@ -312,7 +335,7 @@ WHERE NOT EXISTS (SELECT 1 FROM rrf_fused_topk f WHERE f.customer_id = n.custome
 
 @G.query
 def propagated_factors(d, p):
-    """One step of symmetric-normalised propagation of item vectors to users over distinct purchases, four components."""
+    """One step of symmetric-normalised propagation of item vectors to users over distinct purchases, all components."""
     return f"""SELECT customer_id, i, round(sum(x / sqrt(cast(du as double) * di)), 6) AS value FROM (
 SELECT e.customer_id, v.i, v.x, count(*) OVER (PARTITION BY e.customer_id, v.i) AS du, di.n AS di FROM (SELECT DISTINCT r.customer_id, r.article_id FROM recent r JOIN users u ON r.customer_id = u.customer_id) e JOIN unit_components v ON e.article_id = v.article_id
-JOIN (SELECT article_id, count(DISTINCT customer_id) AS n FROM recent GROUP BY article_id) di ON e.article_id = di.article_id WHERE v.i < 4) z GROUP BY customer_id, i"""
+JOIN (SELECT article_id, count(DISTINCT customer_id) AS n FROM recent GROUP BY article_id) di ON e.article_id = di.article_id) z GROUP BY customer_id, i"""

@@ -17,14 +17,14 @@ def unit_vectors(d, p):
 
 @G.query
 def basket_mean_vectors(d, p):
-    """Mean vector of each recent basket, the first eight components."""
-    return "SELECT b.customer_id, b.t_dat, v.i, round(avg(v.x), 6) AS x FROM baskets b JOIN users u ON b.customer_id = u.customer_id JOIN unit_components v ON b.article_id = v.article_id WHERE v.i < 8 GROUP BY b.customer_id, b.t_dat, v.i"
+    """Mean vector of each recent basket."""
+    return "SELECT b.customer_id, b.t_dat, v.i, round(avg(v.x), 6) AS x FROM baskets b JOIN users u ON b.customer_id = u.customer_id JOIN unit_components v ON b.article_id = v.article_id GROUP BY b.customer_id, b.t_dat, v.i"
 
 
 @G.query
 def decayed_profiles(d, p):
-    """Half-life weighted profile of each user's seeds, the first eight components."""
-    return "SELECT s.customer_id, v.i, round(sum(s.weight * v.x) / sum(s.weight), 6) AS x FROM user_seeds s JOIN unit_components v ON s.article_id = v.article_id WHERE v.i < 8 GROUP BY s.customer_id, v.i"
+    """Half-life weighted profile of each user's seeds."""
+    return "SELECT s.customer_id, v.i, round(sum(s.weight * v.x) / sum(s.weight), 6) AS x FROM user_seeds s JOIN unit_components v ON s.article_id = v.article_id GROUP BY s.customer_id, v.i"
 
 
 @G.query

@@ -51,6 +51,11 @@ class Spark:
         """Rows (keys, index, value) of an array column, index from 0."""
         return f"SELECT {keys}, cast(p as bigint) AS {index}, cast(v as double) AS {value} FROM {source} LATERAL VIEW posexplode({array}) t AS p, v WHERE {where}"
 
+    def stacked(self, keys: str, columns: tuple[str, ...], source: str) -> str:
+        """Rows (keys, dimension, value as text), one for each column, in one pass."""
+        each = ", ".join(f"struct('{c}' AS dimension, cast({c} as string) AS value)" for c in columns)
+        return f"SELECT {keys}, e.dimension, e.value FROM {source} LATERAL VIEW explode(array({each})) t AS e"
+
     def numbers(self, n: int, name: str) -> str:
         return f"SELECT id AS {name} FROM range(1, {n + 1})"
 
@@ -94,6 +99,9 @@ class Duck(Spark):
     def spread(self, keys: str, array: str, index: str, value: str, source: str, where: str = "true") -> str:
         return f"SELECT {keys}, p - 1 AS {index}, cast({array}[p] as double) AS {value} FROM (SELECT *, unnest(range(1, len({array}) + 1)) AS p FROM {source}) WHERE {where}"
 
+    def stacked(self, keys: str, columns: tuple[str, ...], source: str) -> str:
+        return " UNION ALL ".join(f"SELECT {keys}, '{c}' AS dimension, cast({c} as varchar) AS value FROM {source}" for c in columns)
+
     def numbers(self, n: int, name: str) -> str:
         return f"SELECT range AS {name} FROM range(1, {n + 1})"
 

@@ -7,7 +7,8 @@ Catalyst as one plan, so filters and column pruning reach the scans.
 Relations that many others read are staged: they are written once into the shared
 folder, per session, feed and parameters, and read from there, which cuts lineage (a
 lost executor recomputes one stage) and spares the six sources from running again for
-every query above them. `Graph.forget` drops the stages, after the feed has changed.
+every query above them. A table of the feed that is rewritten makes new stages;
+`Graph.forget` drops all, which is needed only after files inside a table's folder changed.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ class Graph:
     relations: dict[str, Template] = field(default_factory=dict)
     queries: dict[str, str] = field(default_factory=dict)
     staged: set[str] = field(default_factory=set)
+    #: staged relations that a function makes in Spark, (r, p) -> DataFrame; their SQL is the reference only
+    made: dict[str, Callable] = field(default_factory=dict)
     _stages: dict[tuple, DataFrame] = field(default_factory=dict)
 
     def relation(self, fn: Template) -> Template:
@@ -87,13 +90,16 @@ class Graph:
         return spark.sql(self._render(name, [x for x in names if x not in self.staged], SPARK, p))
 
     def _stage(self, spark: SparkSession, name: str, p, feed: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, feed, p, name)
+        key = (spark.sparkContext.applicationId, feed, state_of(spark, feed), p, name)
         if key not in self._stages:
-            names = self.needs(name, SPARK, p, cut=True)
-            for x in names:
-                if x in self.staged and x != name:
-                    self._stage(spark, x, p, feed).createOrReplaceTempView(x)
-            df = spark.sql(self._render(name, [x for x in names if x not in self.staged or x == name], SPARK, p))
+            if name in self.made:
+                df = self.made[name](lambda x: self.frame(spark, x, p, feed), p)
+            else:
+                names = self.needs(name, SPARK, p, cut=True)
+                for x in names:
+                    if x in self.staged and x != name:
+                        self._stage(spark, x, p, feed).createOrReplaceTempView(x)
+                df = spark.sql(self._render(name, [x for x in names if x not in self.staged or x == name], SPARK, p))
             self._stages[key] = materialise(df, name)
         return self._stages[key]
 
@@ -110,4 +116,11 @@ class Graph:
         return self.sql(name, DUCK, p)
 
 
+def state_of(spark: SparkSession, feed: str) -> int:
+    """A number that changes when a table of the feed is rewritten, added or removed: its names, sizes and times, read through Spark's file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(feed)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return hash(tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)))
+
+
 GRAPH = Graph()

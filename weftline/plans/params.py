@@ -34,6 +34,10 @@ class Params:
     seed: int = 20260831
     #: share of users in a run, in ten-thousandths; 10000 takes all
     user_rate: int = 10_000
+    #: neighbours' postings that a user may read, shared among the items bought
+    postings: int = 2000
+    #: simulates cold articles on a feed without any: those whose id divides by this lose their sales before the cutoff; 0 hides none
+    hidden: int = 0
 
     def __post_init__(self) -> None:
         for f in fields(self):
@@ -43,5 +47,5 @@ class Params:
             raise ValueError("the protected head must be shorter than the slate")
 
 
-#: The test feed is sparse: wider windows, and no minimum pair count.
-SMALL_FEED = Params(cutoff="2001-07-26", history_days=364, popular_days=364, covisit_days=364, min_pairs=1, source_k=30, candidate_k=60, neighbours=20, knn=20, item_candidates=60, append_k=40, global_k=20, min_prior_events=5)
+#: The test feed is sparse: wider windows, no minimum pair count, a lower minimum of events, and a twentieth of its articles made cold. All limits are the defaults.
+SMALL_FEED = Params(cutoff="2001-07-26", history_days=364, popular_days=364, covisit_days=364, min_pairs=1, min_prior_events=5, hidden=20)

@@ -21,10 +21,11 @@ def register(spark: SparkSession, folder: str) -> None:
 
 @GRAPH.relation
 def tx(d, p):
-    """Purchase events; equal rows are separate events."""
+    """Purchase events; equal rows are separate events. A feed whose every article sold early has none that is cold: ``hidden`` takes the sales before the cutoff from each article of that residue."""
+    hidden = f"\nWHERE l.l_partkey % {p.hidden} <> 0 OR cast(o.o_orderdate as date) >= {d.date(p.cutoff)}" if p.hidden else ""
     return """SELECT cast(o.o_orderdate as date) AS t_dat, o.o_custkey AS customer_id, l.l_partkey AS article_id, l.l_extendedprice AS price,
        CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 2 END AS channel
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey"""
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""" + hidden
 
 
 @GRAPH.relation
