@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import audit, enrichment, features, fusion, graphs, matching, metrics, nearest, policies, pools, population, rankings, retrieval, sampling, vectors, vocabulary  # noqa: F401  each declares its relations
+from .operators import audit, distributed, enrichment, evaluation, features, fusion, graphs, matching, metrics, nearest, policies, pools, population, rankings, retrieval, sampling, vectors, vocabulary  # noqa: F401  each declares its relations
 from .plans.frames import FRAMES
 from .plans.graph import GRAPH
 from .plans.params import SMALL_FEED, Params

@@ -79,7 +79,7 @@ def plan_parity(d, p):
 
     joins = " ".join(f"LEFT JOIN (SELECT customer_id, article_id, source_rank FROM candidates_long WHERE source = '{s}') {s} ON k.customer_id = {s}.customer_id AND k.article_id = {s}.article_id" for s in SOURCES)
     total = " + ".join(f"coalesce(1.0 / ({p.rrf} + {s}.source_rank), 0)" for s in SOURCES)
-    return f"SELECT count(*) AS differing FROM rrf_fused_topk f FULL OUTER JOIN (SELECT k.customer_id, k.article_id, round({total}, 8) AS score FROM (SELECT customer_id, article_id FROM rrf_fused_topk) k {joins}) w ON f.customer_id = w.customer_id AND f.article_id = w.article_id WHERE round(f.fused_score, 8) IS DISTINCT FROM w.score"
+    return f"SELECT count(*) AS differing FROM rrf_fused_topk f FULL OUTER JOIN (SELECT k.customer_id, k.article_id, {total} AS score FROM (SELECT customer_id, article_id FROM rrf_fused_topk) k {joins}) w ON f.customer_id = w.customer_id AND f.article_id = w.article_id WHERE (abs(f.fused_score - w.score) <= 0.00000001) IS DISTINCT FROM true"
 
 
 @G.query

@@ -25,7 +25,7 @@ WINDOW w AS (PARTITION BY customer_id ORDER BY final_rank ROWS BETWEEN UNBOUNDED
 def swap_pairs(d, p):
     """Challenger and victim pairs of a user with score gap and the exact change of average precision if they swap."""
     hit_inside = "(c.target - v.target)"
-    return f"""SELECT v.customer_id, c.article_id AS challenger, v.article_id AS victim, c.final_rank AS challenger_rank, v.final_rank AS victim_rank, round(c.final_score - v.final_score, 10) AS score_gap, round(s.score_b - t.score_b, 6) AS vote_gap, c.target AS challenger_target, v.target AS victim_target,
+    return f"""SELECT v.customer_id, c.article_id AS challenger, v.article_id AS victim, c.final_rank AS challenger_rank, v.final_rank AS victim_rank, round(c.final_score - v.final_score, 10) AS score_gap, round(s.score_b - t.score_b, 8) AS vote_gap, c.target AS challenger_target, v.target AS victim_target,
 round({hit_inside} * ((v.hits - v.target + 1) / cast(v.final_rank as double) + (e.inverse - v.inverse)) / least(coalesce(n.n, 1), {p.metric_k}), 8) AS delta
 FROM hit_sums v JOIN hit_sums c ON v.customer_id = c.customer_id JOIN hit_sums e ON v.customer_id = e.customer_id JOIN scored s ON c.customer_id = s.customer_id AND c.article_id = s.article_id JOIN scored t ON v.customer_id = t.customer_id AND v.article_id = t.article_id LEFT JOIN truth_counts n ON v.customer_id = n.customer_id
 WHERE v.final_rank > {p.head} AND v.final_rank <= {p.metric_k} AND c.final_rank > {p.metric_k} AND c.final_rank <= 50 AND e.final_rank = {p.metric_k}"""
