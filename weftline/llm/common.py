@@ -209,26 +209,29 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars()
 
 
+def _stars(state: DataFrame) -> bool:
+    """Whether distinct (a, b) edges with b < a are stars: every a has one b, and no b is an a."""
+    ends = state.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(state.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge in ``edges`` (src, dst longs); root is the least node of its component.
 
     The edges of each task are first reduced to forests by union-find. Large-star and
-    small-star steps then alternate over these until nothing changes; every round is a
+    small-star steps then alternate over these until all are stars; every round is a
     written table, so a lost executor costs at most one round. The least neighbours are
     written too, so that the joins read plain shuffles and the star of one huge component
-    can be split. The driver holds two numbers a round. Rounds grow with the logarithm
+    can be split. The driver holds one answer a round. Rounds grow with the logarithm
     of the longest chain; after ``rounds`` of them, far more than any graph needs, an
     error is raised rather than a wrong answer given. Self-loops are ignored; an empty
     edge table gives an empty result.
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
     state = materialise(pairs.mapInArrow(_forest, "a bigint, b bigint").distinct(), f"{tag}-cc")
-    before = None
     for _ in range(rounds):
-        seen = state.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if not seen["n"] or before == (seen["n"], seen["x"]):
+        if _stars(state):
             break
-        before = (seen["n"], seen["x"])
         both = state.union(state.select("b", "a"))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{tag}-least")
         large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{tag}-large")
