@@ -7,11 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
 _WRITTEN: list[str] = []
+#: path of each table that `materialise` returned, while the caller holds it
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -37,7 +40,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def _at_exit() -> None:
@@ -53,7 +58,18 @@ atexit.register(_at_exit)
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that `materialise` wrote; call it once results are stored."""
-    jvm = spark.sparkContext._jvm
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialise` returned. Only for those whose readers have all been written themselves: later plans, retries included, then start from these."""
+    for table in tables:
+        path = _PATHS.pop(table)
+        _WRITTEN.remove(path)
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
