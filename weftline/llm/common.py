@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..storage import materialise
+from ..storage import discard, materialise
 
 
 #: rows of an Arrow batch; whole texts are large, and a batch is held at once by the JVM and by its Python worker
@@ -220,9 +220,9 @@ def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFr
 
     The edges of each task are first reduced to forests by union-find. Large-star and
     small-star steps then alternate over these until all are stars; every round is a
-    written table, so a lost executor costs at most one round. The least neighbours are
-    written too, so that the joins read plain shuffles and the star of one huge component
-    can be split. The driver holds one answer a round. Rounds grow with the logarithm
+    written table, so a lost executor costs at most one round; tables of rounds gone by
+    are deleted. The least neighbours are written too, so that the joins read plain
+    shuffles and the star of one huge component can be split. The driver holds one answer a round. Rounds grow with the logarithm
     of the longest chain; after ``rounds`` of them, far more than any graph needs, an
     error is raised rather than a wrong answer given. Self-loops are ignored; an empty
     edge table gives an empty result.
@@ -235,9 +235,11 @@ def connected_components(edges: DataFrame, tag: str, rounds: int = 60) -> DataFr
         both = state.union(state.select("b", "a"))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{tag}-least")
         large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{tag}-large")
+        discard(state, least)
         least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-least")
         joined = large.join(least, "a").select(F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         state = materialise(joined.select("e.*").where("a <> b").distinct(), f"{tag}-cc")
+        discard(large, least)
     else:
         raise RuntimeError("connected components did not settle")
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
