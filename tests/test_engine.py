@@ -127,3 +127,15 @@ def test_queries_equal_their_sql(spark, name):
 def test_matched_slots(spark):
     rows = catalog.QUERIES["matched_slots"](spark, SMALL).collect()
     assert all(len([r for r in rows if r["customer_id"] == u]) <= 2 for u in {r["customer_id"] for r in rows})
+
+
+def test_rounding_and_sums_of_the_checking_engine(spark):
+    """Values that end in a 5 round as in the reference, and equal sums tie in any order of their rows."""
+    con = compare.connect(SMALL)
+    values = [i * 0.5 / 1e8 for i in range(1, 4001, 2)] + [-3.5e-8, 0.0]
+    for x in (8, 6):
+        sql = f"SELECT i, round(v, {x}) AS v FROM (VALUES {', '.join(f'({i}, {v:.17e})' for i, v in enumerate(values))}) t(i, v)"
+        assert dict(spark.sql(SPARK.rounding(sql)).collect()) == dict(con.execute(sql).fetchall())
+    terms = [0.1, 0.2, 0.3, 0.25e-8, 0.7, 1e-8 / 3]
+    sums = {spark.sql(f"SELECT {SPARK.total('x')} FROM VALUES {', '.join(f'({v!r}D)' for v in some)} t(x)").coalesce(1).first()[0] for some in itertools.islice(itertools.permutations(terms), 0, 720, 90)}
+    assert len(sums) == 1
