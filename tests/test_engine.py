@@ -141,6 +141,33 @@ def test_rounding_and_sums_of_the_checking_engine(spark):
     assert len(sums) == 1
 
 
+def test_family_source_equals_its_declaration(spark):
+    """Many siblings of equal and nearly equal popularity, old and new seeds: the bounds leave out nothing that is among the first."""
+    from weftline.operators.distributed import family_source
+    from pyspark.sql import functions as F
+
+    from weftline.plans.frames import rounded
+
+    rng, p, day = random.Random(5), Params(cutoff="2001-07-26", history_days=364, source_k=7), datetime.date(2001, 7, 26)
+    items = [(i, f"c{i % 5}") for i in range(400)]
+    popular = [(i, rng.choice([0.0, 1e-8, 2e-8, 0.5, 0.50000001, 0.5000001, 0.9]) if i % 5 else rng.choice([0.0, 1e-8])) for i in range(0, 400, 2)]
+    recent = [(u, day - datetime.timedelta(days=rng.choice([1, 2, 2, 30, 300, 364])), rng.randrange(400)) for u in range(40) for _ in range(5)]
+    frames = {
+        "articles": spark.createDataFrame(items, "article_id long, product_code string"),
+        "popularity": spark.createDataFrame(popular, "article_id long, popularity double"),
+        "recent": spark.createDataFrame(recent, "customer_id long, t_dat date, article_id long"),
+        "users": spark.createDataFrame([(u,) for u in range(35)], "customer_id long"),
+    }
+    reached = frames["recent"].join(frames["users"], "customer_id").join(frames["articles"], "article_id").groupBy("customer_id", "product_code").agg(F.max("t_dat").alias("last_day"), F.count("*").alias("n"))
+    strength = F.pow(F.lit(2.0), -F.datediff(F.lit(p.cutoff).cast("date"), "last_day") / F.lit(21.0)) * (1 + F.ln("n"))
+    every = reached.join(frames["articles"], "product_code").join(frames["popularity"], "article_id", "left").withColumn("score", rounded(strength * (1 + F.ln(1 + F.coalesce("popularity", F.lit(0.0)))), 8))
+    expected = {}
+    for r in every.collect():
+        expected.setdefault(r["customer_id"], []).append((-r["score"], -r["last_day"].toordinal(), r["article_id"]))
+    expected = {(u, x[2], k + 1, -x[0]) for u, rows in expected.items() for k, x in enumerate(sorted(rows)[: p.source_k])}
+    assert set(map(tuple, family_source(frames.__getitem__, p).collect())) == expected
+
+
 def test_cold_lists_equal_plain_version(spark):
     """Best weighted cosine, mean of the three best, support, ties by id; a seed is not its own candidate."""
     from weftline.operators.nearest import cold_lists
