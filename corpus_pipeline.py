@@ -26,7 +26,7 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (5-word shingles, similarity 0.8 or more) stays; the exact join leaves no need for fingerprints."""
+    """One document of each near-duplicate group (5-word shingles, similarity 0.8 or more) stays: SimHash fingerprints link first, with an exact check, and an exact join finds what they miss."""
     return neardup.one_of_each(docs)
 
 

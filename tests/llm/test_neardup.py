@@ -61,3 +61,11 @@ def test_pipeline_stage_drops_a_near_copy(spark, no_documents):
     near = [*words[:200], "another", "pair", *words[202:]]
     docs = spark.createDataFrame([(1, " ".join(words), "en", "a", 1, "x"), (2, " ".join(near), "en", "a", 1, "x"), (None, "one", "en", "a", 1, "x"), (None, "two", "en", "a", 1, "x")], no_documents.schema)
     assert sorted(r["text"] for r in corpus_pipeline.stage_simhash(spark, docs, "").collect()) == sorted([" ".join(words), "one", "two"])
+
+
+def test_fingerprints_bring_similar_texts_together(spark):
+    """SimHash links are found and settled on whole sets: near copies and equal fingerprints, not texts that merely share a fingerprint."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(reversed(words))), (4, ""), (5, "alone")]
+    found = neardup.by_fingerprint(spark.createDataFrame(rows, "cls long, text string")).collect()
+    assert [(r["src"], r["dst"]) for r in found] == [(1, 2)]

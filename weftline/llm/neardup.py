@@ -8,7 +8,11 @@ share a shingle of their prefixes. The order is by frequency in a sample of text
 by hash, so common shingles seldom stand in a prefix; the sample bears on speed alone.
 
 Texts of one set are one class (a 64-bit hash of the set), so exact copies are one row.
-Classes meet on prefix shingles. First, in some TURNS, each class is compared with a few
+First SimHash fingerprints of the classes (5-word shingles) link by anchor-point covering
+(`simhash.linked`); each class is compared on whole sets with the least one of its
+fingerprint, each fingerprint with its least neighbour. Most similar texts differ in more
+bits than a covering reaches, so the exact join goes on from these groups.
+Classes meet on prefix shingles. In some TURNS, each class is compared with a few
 others of other groups: of the hubs of its shingles (some classes of each, by hash,
 others in each turn) those it can be most similar to. That joins the members of large
 groups without forming their pairs. Then all pairs of classes that meet and are
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, connected_components, discard, gram_hashes, hash_words, keyed, materialise, texts_of
+from . import simhash
 from .simhash import least_of_each
 
 SHINGLE = 5
@@ -97,6 +102,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * UNDER >= OVER * (len(a) + len(b) - both)
 
 
+def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = pa.array([simhash.fingerprint(raw, SHINGLE) for raw in texts_of(batch.column("text"))], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), fps], ["cls", "fp"])
+
+
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(src, dst) pairs of similar classes that their SimHash fingerprints bring together, at most two a class; from (cls, text)."""
+    own = materialise(classes.select("cls", "text").mapInArrow(_fingerprinted, "cls bigint, fp bigint"), "neardup-fps")
+    firsts = materialise(own.groupBy("fp").agg(F.min("cls").alias("first")), "neardup-firsts")
+    nearest = simhash.linked(firsts).groupBy("dst").agg(F.min("src").alias("src"))
+    a, b = firsts.select(F.col("fp").alias("src"), F.col("first").alias("x")), firsts.select(F.col("fp").alias("dst"), F.col("first").alias("y"))
+    near = nearest.join(a, "src").join(b, "dst").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    same = own.join(firsts, "fp").where("cls <> first").select(F.col("first").alias("src"), F.col("cls").alias("dst"))
+    pairs = materialise(near.unionByName(same).distinct(), "neardup-near")
+    found = _settled(pairs, classes)
+    discard(own, firsts, pairs)
+    return found
+
+
 def linked(classes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(src, dst) pairs of similar classes whose components are those of all such pairs; from (cls, n, text), one row a class."""
     spark = classes.sparkSession
@@ -116,7 +141,12 @@ def linked(classes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     held = materialise(every.join(shared, "gram").join(classes.select("cls", "n"), "cls"), "neardup-shared")
     discard(every)
     # Large groups first, without their pairs: in each turn every shingle that stands in several groups has other hubs.
-    posts, looked, links = held.withColumn("root", F.col("cls")), None, None
+    links, looked = by_fingerprint(classes), None
+    roots = connected_components(links, "neardup-turn")
+    posts = held.join(roots, held["cls"] == roots["node"], "left").select(*[held[c] for c in held.columns], F.coalesce(roots["root"], held["cls"]).alias("root"))
+    posts = materialise(posts, "neardup-grouped")
+    discard(held)
+    held = posts
     for turn, (slots, best) in enumerate(TURNS):
         order = F.xxhash64("cls", F.lit(turn))
         hubs = posts.groupBy("gram", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(order.alias("order"), "cls", "root", "n")).alias("hub"))
@@ -136,7 +166,7 @@ def linked(classes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
         found = _settled(tried, classes)
         done = judged.select("src", "dst").unionByName(judged.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         looked = done if looked is None else looked.unionByName(done)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         roots = connected_components(links, "neardup-turn")
         posts = posts.join(roots, posts["cls"] == roots["node"], "left").select("gram", "i", "cls", "p", "c", "g", "n", F.coalesce(roots["root"], "cls").alias("root"))
         posts = materialise(posts, "neardup-grouped")
