@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import math
 import random
 
 import compare
@@ -168,6 +169,35 @@ def test_family_source_equals_its_declaration(spark):
     assert set(map(tuple, family_source(frames.__getitem__, p).collect())) == expected
 
 
+def test_cold_season_equals_its_lanes(spark):
+    """Many cold items of equal and nearly equal lift, strong and weak shares: the bounds leave out nothing that is among the first; pairs beyond them are not formed."""
+    from weftline.operators import distributed
+    from weftline.plans.graph import GRAPH
+
+    rng, p = random.Random(7), Params(global_k=6)
+    lifts = [(i, f"t{i % 4}" if i % 50 else None, rng.choice([0.0, 1e-8, 2e-8, 0.4, 0.40000001, 0.40000003, 0.7])) for i in range(400)]
+    typed = [(u, rng.choice(["t0", "t1", "t2", "t3", "t9", None])) for u in range(40) for _ in range(rng.randint(1, 30))]
+    frames = {
+        "cold_lifts": spark.createDataFrame(lifts, "article_id long, product_type string, score double"),
+        "typed_recent": spark.createDataFrame(typed, "customer_id long, product_type string"),
+        "users": spark.createDataFrame([(u,) for u in range(2, 45)], "customer_id long"),
+    }
+    first = [i for _, i in sorted((-s, i) for i, _, s in lifts)[: p.global_k]]
+    expected = set()
+    for u in range(2, 45):
+        mine = [t for v, t in typed if v == u]
+        digits = lambda x, n=8: math.floor(x * 10.0**n + 0.5) / 10.0**n
+        own = sorted((-digits(mine.count(t) / len(mine) * (s + 0.01)), i) for i, t, s in lifts if t is not None and t in mine)[: p.global_k]
+        lanes = [list(enumerate(first, 1)), list(enumerate((i for _, i in own), 1))]
+        scores = {}
+        for lane in lanes:
+            for at, i in lane:
+                scores[i] = scores.get(i, 0.0) + 1 / (60.0 + at)
+        expected |= {(u, i, k, -s) for k, (s, i) in enumerate(sorted((-digits(s), i) for i, s in scores.items())[: p.global_k], 1)}
+    assert set(map(tuple, distributed.cold_season_source(frames.__getitem__, p).collect())) == expected
+    assert GRAPH.made["src_cold_season"] is distributed.cold_season_source
+
+
 def test_cold_lists_equal_plain_version(spark):
     """Best weighted cosine, mean of the three best, support, ties by id; a seed is not its own candidate."""
     from weftline.operators.nearest import cold_lists
