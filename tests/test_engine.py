@@ -198,6 +198,34 @@ def test_cold_season_equals_its_lanes(spark):
     assert GRAPH.made["src_cold_season"] is distributed.cold_season_source
 
 
+def test_pool_forms_equal_plain_fusion(spark):
+    """Sources that repeat a pair count it once, at its least rank; the pool's scores, counts and names are those of the kept rows."""
+    from weftline.operators import distributed
+    from weftline.operators.fusion import SOURCES
+
+    rng, p = random.Random(8), Params(candidate_k=5)
+    kept, frames = {}, {}
+    for s in SOURCES:
+        rows = [(u, a, rng.randint(1, 9), rng.random()) for u in range(8) for a in rng.sample(range(12), 6) for _ in range(2 if s in distributed.REPEATING else 1)]
+        frames[f"src_{s}"] = spark.createDataFrame(rows, "customer_id long, article_id long, source_rank long, source_score double")
+        for u, a, k, x in sorted(rows, key=lambda r: (-r[2], r[3])):
+            kept[u, a, s] = (k, x)
+    found = distributed.long_candidates(frames.__getitem__, p)
+    assert {(r[0], r[1], r[2]): r[3] for r in found.collect()} == {key: k for key, (k, _) in kept.items()} and found.count() == len(kept)
+    assert all(r["source_score"] == pytest.approx(kept[r[0], r[1], r[2]][1], abs=1e-6) for r in found.collect())
+    frames["candidates_long"] = found
+    expected = []
+    for u in range(8):
+        pairs = {}
+        for (v, a, s), (k, _) in kept.items():
+            if v == u:
+                pairs.setdefault(a, []).append((list(SOURCES).index(s), s, 1 / (p.rrf + k)))
+        rows = sorted((-round(sum(x[2] for x in xs), 10), -len(xs), a, ",".join(x[1] for x in sorted(xs))) for a, xs in pairs.items())
+        expected += [(u, a, k, pytest.approx(-score), -n, names) for k, (score, n, a, names) in enumerate(rows[: p.candidate_k], 1)]
+    pool = sorted(map(tuple, distributed.fused_pool(frames.__getitem__, p).collect()), key=lambda r: (r[0], r[2]))
+    assert pool == expected
+
+
 def test_cold_lists_equal_plain_version(spark):
     """Best weighted cosine, mean of the three best, support, ties by id; a seed is not its own candidate."""
     from weftline.operators.nearest import cold_lists
