@@ -252,6 +252,32 @@ def test_made_relations_equal_their_declarations(spark, p):
         assert found.count() or p is not SMALL_FEED, name
 
 
+def test_unsold_items_of_old_and_late_sales(spark):
+    """An article sold long ago is not cold, one sold after the cutoff only or hidden is; so is one without an id, as in the declaration."""
+    from weftline.operators.distributed import unsold_items
+
+    day = datetime.date
+    frames = {
+        "articles": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (40, "e"), (None, "f")], "article_id long, colour string"),
+        "popularity": spark.createDataFrame([(1, 0.5)], "article_id long, popularity double"),
+        "order_lines": spark.createDataFrame([(7, 1), (8, 2), (9, 3), (8, 40)], "order_id long, article_id long"),
+        "dated_orders": spark.createDataFrame([(7, day(2001, 7, 1)), (8, day(1995, 1, 1)), (9, day(2001, 7, 27))], "order_id long, t_dat date"),
+    }
+    for hidden, cold in ((20, "cdef"), (0, "cdf")):
+        found = unsold_items(frames.__getitem__, Params(cutoff="2001-07-26", hidden=hidden))
+        assert found.columns == ["article_id", "colour"] and "".join(sorted(r["colour"] for r in found.collect())) == cold
+
+
+@pytest.mark.parametrize("name", ["constant_features", "pit_user_item_features", "hierarchy_affinity", "deep_covisit", "conditional_quota"])
+def test_statistics_are_of_the_users_only(spark, name):
+    """Results of the forms that read the users' own events alone; the ties of `hierarchy_affinity` read nothing of the whole window."""
+    con = compare.connect(SMALL)
+    found = catalog.QUERIES[name](spark, SMALL)
+    assert compare.differences(found, con, catalog.ORACLES[name]) == ""
+    if name == "hierarchy_affinity":
+        assert not [f for f in found.inputFiles() if "weftline-late" in f or "weftline-recent" in f or "lineitem" in f]
+
+
 def test_pool_makes_only_what_it_reads(spark, tmp_path):
     """The lines are joined once for history and label week; neither the long candidates nor all items' neighbours are written for the pool."""
     import shutil
