@@ -65,6 +65,14 @@ def test_simhash_components(documents, no_documents):
     assert simhash.components(no_documents).count() == 0 and simhash.one_of_each(no_documents).count() == 0
 
 
+def test_replicas_of_fingerprints_are_not_broadcast(spark):
+    fps = np.random.default_rng(8).integers(-(1 << 63), (1 << 63) - 1, 3000)
+    near = [int(np.uint64(int(x) & (1 << 64) - 1 ^ 0b101).view(np.int64)) for x in fps[:5]]
+    found = simhash.linked(spark.createDataFrame([(int(x),) for x in [*fps, *near]], "fp long"))
+    assert {(r["src"], r["dst"]) for r in found.collect()} == {tuple(sorted((int(a), b))) for a, b in zip(fps, near, strict=False)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unrelated_documents_without_an_id_of_their_own_stay(spark, no_documents):
     texts = [(None, "a first text that has no id"), (None, "something else entirely, again without any"), (9, "one text under the id nine"), (9, "quite other words that share this number")]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t), "x") for i, t in texts], no_documents.schema)

@@ -13,7 +13,8 @@ bits. Distinct fingerprints only are replicated, so a group of exact copies, how
 large, is one row; a fingerprint has at most 2080 others within 2 bits.
 
 Components are found on distinct fingerprints (`connected_components`); documents get
-their class by a join on the fingerprint.
+their class by a join on the fingerprint. Joins of tables that Spark sizes too low (rows
+that become many in Python, files that compress well) are sort-merge joins by a hint.
 
 Nulls and texts without words have fingerprint zero and link like any other. A null
 doc_id is a document; a component whose ids are all null has a null component_id, so
@@ -138,8 +139,9 @@ def linked(fps: DataFrame) -> DataFrame:
     # dealt out by number, as a fingerprint becomes some 61 rows: what adaptive execution sees before that is small
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = fps.select("fp").repartition(parts, "fp").mapInArrow(_meetings, "anchor bigint, fp bigint, is_home boolean")
-    homes = met.where("is_home").select("anchor", F.col("fp").alias("src"))
-    guests = met.where("not is_home").select("anchor", F.col("fp").alias("dst"))
+    # Spark sizes replicas as if a fingerprint were one row, and would send all of them to the driver as a small table
+    homes = met.where("is_home").select("anchor", F.col("fp").alias("src")).hint("merge")
+    guests = met.where("not is_home").select("anchor", F.col("fp").alias("dst")).hint("merge")
     close = (F.col("src") < F.col("dst")) & (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= THRESHOLD)
     return homes.join(guests, (homes["anchor"] == guests["anchor"]) & close).select("src", "dst")
 
@@ -153,7 +155,7 @@ def components(docs: DataFrame) -> DataFrame:
     rooted = materialise(rooted, "simhash-classes")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(least, "root").select("fp", "root", "component_id")
-    return own.join(labels, "fp").select("_id", "_th", "fp", "root", "component_id")
+    return own.join(labels.hint("merge"), "fp").select("_id", "_th", "fp", "root", "component_id")  # copies make the file of ``own`` small, not its rows
 
 
 def least_of_each(docs: DataFrame, rooted: DataFrame) -> DataFrame:
