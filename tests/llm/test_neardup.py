@@ -69,3 +69,16 @@ def test_fingerprints_bring_similar_texts_together(spark):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, " ".join(reversed(words))), (4, ""), (5, "alone")]
     found = neardup.by_fingerprint(spark.createDataFrame(rows, "cls long, text string")).collect()
     assert [(r["src"], r["dst"]) for r in found] == [(1, 2)]
+
+
+def test_tables_that_compress_well_are_not_broadcast(spark, no_documents, monkeypatch):
+    plans, write = {}, neardup.materialise
+
+    def noted(df, tag):
+        plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(neardup, "materialise", noted)
+    neardup.components(spark.createDataFrame([(i, t, "en", "a", len(t), "x") for i, t in enumerate(copies())], no_documents.schema)).count()
+    for tag in ("asked", "judged", "met", "found"):
+        assert plans[f"neardup-{tag}"] and not any("BroadcastHashJoin" in x for x in plans[f"neardup-{tag}"]), tag

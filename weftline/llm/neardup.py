@@ -23,6 +23,9 @@ hashes.
 
 Nulls and texts without words have the empty set and are one group. Null and repeated
 ids are fine: groups have roots of their own. Empty tables give empty results.
+
+Spark sizes a written table by its files, and near copies, hubs and shingles compress many
+times over; such tables are joined by sort and merge (a hint), never sent to the driver.
 """
 
 from __future__ import annotations
@@ -152,11 +155,11 @@ def linked(classes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
         hubs = posts.groupBy("gram", F.pmod(order, F.lit(slots)).alias("slot")).agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(order.alias("order"), "cls", "root", "n")).alias("hub"))
         hubs = hubs.groupBy("gram").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.collect_list("hub").alias("hubs")).where("x <> y")
         hubs = materialise(hubs.select("gram", "hubs"), "neardup-hubs")
-        posts = posts.join(hubs, "gram")
+        posts = posts.join(hubs.hint("merge"), "gram")
         asked = posts.select("cls", F.explode(F.expr(f"filter(hubs, h -> root <> h.root and n * {UNDER} >= h.n * {OVER} and h.n * {UNDER} >= n * {OVER})")).alias("b"))
         asked = asked.select(F.col("cls").alias("src"), F.col("b.cls").alias("dst")).distinct()
         if looked is not None:
-            asked = asked.join(looked, ["src", "dst"], "left_anti")
+            asked = asked.join(looked.hint("merge"), ["src", "dst"], "left_anti")
         asked, sets = materialise(asked, "neardup-asked"), _sets(posts)
         judged = _judged(asked, sets)
         rank = F.row_number().over(Window.partitionBy("fits", "src").orderBy(F.desc("bound"), "dst"))
@@ -177,11 +180,11 @@ def linked(classes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
     mixed = materialise(mixed, "neardup-mixed")
     posts = materialise(posts.join(mixed, "gram"), "neardup-left")
     discard(held, mixed)
-    a, b = posts.alias("a"), posts.alias("b")
+    a, b = posts.alias("a"), posts.alias("b").hint("merge")
     # The first shingle that a pair shares leaves no more common ones than the shorter rest: sets that similar share one this early.
     room = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) * (OVER + UNDER) >= (F.col("a.n") + F.col("b.n")) * OVER
     met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & room)
-    asked = met.select(F.col("a.cls").alias("src"), F.col("b.cls").alias("dst")).distinct().join(looked, ["src", "dst"], "left_anti")
+    asked = met.select(F.col("a.cls").alias("src"), F.col("b.cls").alias("dst")).distinct().join(looked.hint("merge"), ["src", "dst"], "left_anti")
     asked, sets = materialise(asked, "neardup-asked"), _sets(posts)
     met = materialise(_judged(asked, sets).where("fits").select("src", "dst"), "neardup-met")
     discard(asked, sets, posts)
@@ -199,7 +202,7 @@ def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Such a pair shares no shingle that was left out of ``sets``: those stand in one group only.
     """
-    a, b = sets.alias("a"), sets.alias("b")
+    a, b = sets.alias("a").hint("merge"), sets.alias("b").hint("merge")
     # Hashes are ordered as unsigned numbers: flipping the top bit makes signed order agree.
     end = lambda s: F.struct(F.col(f"{s}.c").alias("c"), F.col(f"{s}.g").bitwiseXOR(F.lit(-(1 << 63))).alias("g"))
     rest = F.when(end("a") <= end("b"), F.col("a.n") - F.col("a.p")).otherwise(F.col("b.n") - F.col("b.p"))
@@ -213,7 +216,8 @@ def _settled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (src, dst) of ``pairs`` whose whole sets are similar, written."""
     texts = classes.join(pairs.select(F.explode(F.array("src", "dst")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "text")
     texts = materialise(texts, "neardup-texts")
-    sides = pairs.join(texts.select(F.col("cls").alias("src"), F.col("text").alias("a")), "src").join(texts.select(F.col("cls").alias("dst"), F.col("text").alias("b")), "dst")
+    of = lambda key, name: texts.select(F.col("cls").alias(key), F.col("text").alias(name)).hint("merge")
+    sides = pairs.join(of("src", "a"), "src").join(of("dst", "b"), "dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
